@@ -1,0 +1 @@
+"""Registered queries over the test tables, each next to the SQL that checks it."""
