@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as tx
 from ..functions.rounding import exact_round
-from ..session import fits
+from ..session import fits, keep, stage
 from . import index as ix
 
 
@@ -17,55 +17,45 @@ def route(questions: DataFrame) -> DataFrame:
     return questions.withColumn("candidates", tx.candidate_languages(F.col("question")))
 
 
-def _asked(questions: DataFrame, cfg: Config) -> DataFrame:
-    """(qid, question, query_lang, wanted): stopword language and wanted pool of each question."""
+def query_terms(questions: DataFrame, cfg: Config) -> DataFrame:
+    """(qid, wanted, term, qtf): wanted pool and folded query terms of each question.
+
+    One extra row per question has a NULL term, so questions without terms stay present.
+    """
     single = F.when(F.size("candidates") == 1, F.get("candidates", F.lit(0)))
     wanted = F.array_join("candidates", "_") if cfg.filter_language else F.lit("all")
-    return route(questions).select(
-        "qid", "question", single.alias("query_lang"), wanted.alias("wanted")
-    )
-
-
-def query_terms(asked: DataFrame) -> DataFrame:
-    """(qid, pool, term, qtf): repeated query terms folded into a weight."""
-    raw = asked.select("qid", "pool", "query_lang", tx.raw_tokens(F.col("question")).alias("raw"))
-    words = raw.select("qid", "pool", "query_lang", F.explode("raw").alias("word"))
-    kept = words.where(f"NOT ({tx.stopword_sql('word', 'query_lang')})").drop("query_lang")
-    features = ix.explode_features(kept, "word")
-    return features.groupBy("qid", "pool", "term").agg(F.count("*").alias("qtf"))
-
-
-def _profile(asked: DataFrame) -> tuple[set[str], int]:
-    """Pools the questions want (at most five) and the number of their query terms."""
-    terms = query_terms(asked.withColumnRenamed("wanted", "pool"))
-    rows = asked.select(F.col("wanted").alias("pool"), F.lit(0).alias("n")).unionByName(
-        terms.select("pool", F.lit(1).alias("n"))
+    asked = route(questions).select(
+        "qid",
+        wanted.alias("wanted"),
+        single.alias("query_lang"),
+        tx.raw_tokens(F.col("question")).alias("raw"),
     )
-    counts = rows.groupBy("pool").agg(F.sum("n").alias("n")).collect()
-    return {r.pool for r in counts}, sum(r.n for r in counts)
+    stopped = F.expr(f"filter(raw, t -> NOT ({tx.stopword_sql('t', 'query_lang')}))")
+    marked = asked.select("qid", "wanted", F.explode(F.array_append(stopped, F.lit(""))).alias("word"))
+    terms = ix.explode_features(marked, "word").withColumn("term", F.nullif("term", F.lit("")))
+    return terms.groupBy("qid", "wanted", "term").agg(F.count("*").alias("qtf"))
 
 
-def _pool_figures(passages: DataFrame, wanted: set[str]) -> dict[str, tuple[int, float]]:
-    """(n, avgdl) of the wanted pools, and of all passages when one of them is empty.
+def _figures(
+    passages: DataFrame, index: ix.Index | None, wanted: set[str]
+) -> dict[str, tuple[int, float]]:
+    """(n, avgdl) of each non-empty pool; at most four language groups come to the driver.
 
-    Four language groups at most come to the driver.
+    Only the groups of the wanted pools are analysed, the others when a wanted pool is empty.
     """
     groups: dict[str, tuple[int, int]] = {}
 
-    def load(names: list[str]) -> None:
-        todo = [g for g in names if g not in groups]
-        if todo:
-            rows = ix.group_stats(ix.analyse(ix.in_groups(passages, todo))).collect()
-            groups.update({g: (0, 0) for g in todo})
-            groups.update({r.lang_group: (r.n, r.total_len) for r in rows})
+    def load(names: set[str]) -> None:
+        todo = sorted(names - set(groups))
+        if not todo:
+            return
+        stats = index.stats if index else ix.group_stats(ix.analyse(ix.in_groups(passages, todo)))
+        groups.update({g: (0, 0) for g in todo})
+        groups.update({r.lang_group: (r.n, r.total_len) for r in stats.collect()})
 
-    load([g for pool in wanted for g in ix.POOLS[pool]])
+    load({g for pool in wanted for g in ix.POOLS[pool]})
     if any(sum(groups[g][0] for g in ix.POOLS[pool]) == 0 for pool in wanted):
-        load(ix.POOLS["all"])
-    return _pooled(groups)
-
-
-def _pooled(groups: dict[str, tuple[int, int]]) -> dict[str, tuple[int, float]]:
+        load(set(ix.POOLS["all"]))
     figures = {}
     for pool, members in ix.POOLS.items():
         n = sum(groups.get(g, (0, 0))[0] for g in members)
@@ -74,11 +64,20 @@ def _pooled(groups: dict[str, tuple[int, int]]) -> dict[str, tuple[int, float]]:
     return figures
 
 
-def _lookup(key: Column, values: dict) -> Column:
-    found = F.when(F.lit(False), F.lit(next(iter(values.values()), None)))
+def _first_passages(passages: DataFrame, pools: set[str], n: int) -> dict[str, list]:
+    """The first ``n`` passage positions of each pool: n rows per pool, at most five pools."""
+    firsts = {}
+    for pool in sorted(pools):
+        members = ix.in_groups(passages, ix.POOLS[pool]).select("pos")
+        firsts[pool] = [r.pos for r in members.orderBy("pos").limit(n).collect()]
+    return firsts
+
+
+def _lookup(key: Column, values: dict, default: Column) -> Column:
+    found = F.when(F.lit(False), default)
     for name, value in values.items():
-        found = found.when(key == name, F.lit(value))
-    return found
+        found = found.when(key == name, value)
+    return found.otherwise(default)
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:
@@ -101,37 +100,40 @@ def rank(
 
     ``questions`` needs ``qid, question``; ``passages`` needs ``pos, text, lang`` (``title``
     optional). Passages without any matching term score zero and fill up short lists.
+
+    The ranking runs here and its small result is staged. Without an ``index`` the postings of the
+    query terms are kept on the executors meanwhile: document frequencies and scores both read
+    them, and they stay placed by passage, so scoring needs no shuffle until each task has reduced
+    its passages to the best ``top_k`` per question.
     """
-    asked = _asked(questions, cfg)
-    wanted, n_terms = _profile(asked)
-    if index is None:
-        figures = _pool_figures(passages, wanted)
-    else:
-        rows = index.stats.collect()  # at most four
-        figures = _pooled({r.lang_group: (r.n, r.total_len) for r in rows})
+    staged = stage(query_terms(questions, cfg), "query-terms")
+    # at most five pools
+    profile = staged.groupBy("wanted").agg(F.count("*").alias("n")).collect()
+    wanted = {r.wanted for r in profile}
+    figures = _figures(passages, index, wanted)
     used = {pool if pool in figures else "all" for pool in wanted}
     groups = sorted({g for pool in used for g in ix.POOLS[pool]})
-    asked = asked.withColumn(
-        "pool", F.when(F.col("wanted").isin(*used), F.col("wanted")).otherwise(F.lit("all"))
-    ).drop("wanted")
-
     # every table broadcast below has at most four rows (language groups) per query term
-    small = n_terms * 4 <= cfg.broadcast_max_rows
+    small = sum(r.n for r in profile) * 4 <= cfg.broadcast_max_rows
     hint = F.broadcast if small else (lambda df: df)
-    terms = query_terms(asked)
+
+    pool = F.when(F.col("wanted").isin(*used), F.col("wanted")).otherwise(F.lit("all"))
+    asked = staged.select("qid", pool.alias("pool"), "term", "qtf")
+    terms = asked.where("term IS NOT NULL")
     if index is None:
         vocabulary = None
         if small:
-            per_group = terms.withColumn("lang_group", F.explode(ix.pool_groups(F.col("pool"))))
-            vocabulary = hint(per_group.select("lang_group", "term").distinct())
-        entries = ix.postings(ix.prepare(ix.in_groups(passages, groups)), vocabulary)
+            per_group = terms.select(F.explode(ix.pool_groups(F.col("pool"))).alias("lang_group"), "term")
+            vocabulary = hint(per_group.distinct())
+        chosen = ix.prepare(ix.in_groups(passages, groups))
+        entries = keep(ix.postings(chosen, vocabulary))
         term_df = ix.document_frequency(entries)
     else:
         entries, term_df = index.postings, index.term_df
 
     pooled_df = ix.expand_pools(term_df).groupBy("pool", "term").agg(F.sum("df").alias("df"))
-    n = _lookup(F.col("pool"), {pool: n for pool, (n, _) in figures.items()})
-    avgdl = _lookup(F.col("pool"), {pool: mean for pool, (_, mean) in figures.items()})
+    n = _lookup(F.col("pool"), {k: F.lit(v[0]) for k, v in figures.items()}, F.lit(0))
+    avgdl = _lookup(F.col("pool"), {k: F.lit(v[1]) for k, v in figures.items()}, F.lit(1.0))
     weights = (
         hint(terms)
         .join(pooled_df, ["pool", "term"])
@@ -154,31 +156,48 @@ def rank(
             weights.withColumn("block", blocks), ["block", "lang_group", "term"]
         )
     scored = matches.groupBy("pos", "qid").agg(F.sum(_term_score(cfg)).alias("score"))
-    return _fill(scored, asked, passages, cfg.top_k)
+    firsts = _first_passages(passages, used, 2 * cfg.top_k - 1)
+    ranked = _fill(_best(scored, cfg.top_k), asked.where("term IS NULL"), firsts, cfg.top_k)
+    try:
+        return stage(ranked, "ranked")
+    finally:
+        if index is None:
+            entries.unpersist()
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` rows per question; each task keeps only its own best before the shuffle."""
+    """(qid, hits): best ``k`` of each question in order.
+
+    Each task keeps only its own best before the shuffle by question.
+    """
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "pos")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("qid", "rank", "pos", "score")
+    hits = F.array_sort(F.collect_list(F.struct("rank", "pos", "score")))
+    return ranked.groupBy("qid").agg(hits.alias("hits"))
 
 
-def _fill(scored: DataFrame, asked: DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    """Rank the scored passages; lists of fewer than ``k`` end with unmatched passages in order.
+def _fill(best: DataFrame, asked: DataFrame, firsts: dict[str, list], k: int) -> DataFrame:
+    """Complete lists of fewer than ``k`` hits with the first unmatched passages of the pool.
 
-    A question with fewer than ``k`` matches needs at most its pool's first ``2k - 1`` passages.
-    They enter as zero scores, which only rank where nothing else does.
+    A list misses at most ``k`` passages and matches at most ``k - 1`` of the first ``2k - 1``.
     """
-    grouped = passages.select("pos", ix.language_group(F.col("lang")).alias("lang_group"))
-    in_order = Window.partitionBy("lang_group").orderBy("pos")
-    first = grouped.withColumn("_r", F.row_number().over(in_order)).where(F.col("_r") <= 2 * k - 1)
-    # at most 2k-1 rows per language group
-    heads = F.broadcast(ix.expand_pools(first.drop("_r")))
-    zero = asked.join(heads, "pool").select("qid", "pos", F.lit(0.0).alias("score"))
-    best = _best(scored, k).drop("rank")
-    merged = best.unionByName(zero).groupBy("qid", "pos").agg(F.max("score").alias("score"))
-    return _best(merged, k)
+    none = F.array().cast(best.schema["hits"].dataType)
+    listed = asked.select("qid", "pool").join(best, "qid", "left")
+    hits = listed.withColumn("hits", F.coalesce("hits", none))
+    heads = {
+        pool: F.array(*[F.lit(p) for p in head]).cast("array<bigint>")
+        for pool, head in firsts.items()
+    }
+    first = _lookup(F.col("pool"), heads, F.array().cast("array<bigint>"))
+    missing = F.array_except(first, F.transform("hits", lambda h: h["pos"]))
+    zeros = F.transform(
+        missing,
+        lambda p, i: F.struct(
+            (F.size("hits") + i + 1).alias("rank"), p.alias("pos"), F.lit(0.0).alias("score")
+        ),
+    )
+    full = hits.select("qid", F.explode(F.slice(F.concat("hits", zeros), 1, k)).alias("hit"))
+    return full.select("qid", "hit.rank", "hit.pos", "hit.score")
 
 
 def retrieve(
