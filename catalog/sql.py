@@ -190,3 +190,126 @@ ranked AS MATERIALIZED (
   SELECT qid, pos, score,
          row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pos) AS rank
   FROM pairs QUALIFY rank <= {k})"""
+
+
+# ---- completions derived from passages (the same SQL text runs in both engines) ------------
+SENTENCE = (
+    "translate(regexp_extract({text}, '^[^.!?' || chr(10) || ']*', 0), "
+    "'\"' || chr(92) || chr(9) || chr(13), '    ')"
+)
+
+
+def sentence(text: str) -> str:
+    return SENTENCE.format(text=text)
+
+
+def case_question(variant: str, text: str) -> str:
+    first = sentence(text)
+    return f"CASE WHEN {variant} IN (7, 9) THEN {deva(first)} ELSE {first} || '?' END"
+
+
+def completion(variant: str, text: str, pid: str) -> str:
+    """Completion text: clean or with one of fifteen defects, about the first sentence."""
+    first = sentence(text)
+
+    def body(answer: str, sources: str, refuse: str = "false") -> str:
+        return (
+            f"'{{\"answer\": \"' || {answer} || '\", \"sources\": ' || {sources} || "
+            f"', \"refuse\": {refuse}}}'"
+        )
+
+    one = f"'[\"' || {pid} || '\"]'"
+    clean = body(first, one)
+    variants = [
+        clean,
+        f"'```json' || chr(10) || {clean} || chr(10) || '```'",
+        f"'Here is the answer: ' || {clean} || ' Hope it helps.'",
+        body(first, one, '"false"'),
+        body(first, f"'[\"' || {pid} || '\", \"FAKE_99\", \"A_1\"]'"),
+        body(f"{first} || ' 987,654 units and 5%.'", one),
+        body("'Solar panels power rooftop buildings across the state.'", one),
+        body("'I cannot answer this.'", "'[]'", "true"),
+        body(deva(first), one),
+        clean,
+        f"'{{\"answer\": \"' || {first} || '\", \"refuse\": false}}'",
+        f"'{{\"answer\": 6000, \"sources\": [123, \"' || {pid} || '\"], \"refuse\": null}}'",
+        body(first, "'[]'"),
+        body(first, "'[\" \", \"\"]'"),
+        f"'The answer is ' || {first}",
+        f"{clean} || ' ' || {clean}",
+    ]
+    cases = " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(variants))
+    return f"CASE {variant} {cases} END"
+
+
+#: variant of the second attempt: two defects stay, one turns into a refusal, the rest are cured
+SECOND = "CASE WHEN {v} IN (4, 10) THEN {v} WHEN {v} = 12 THEN 7 ELSE 0 END"
+
+
+def gate(source: str, prefix: str = "g", limit: str = "0.6") -> str:
+    """CTEs checking ``source(key, question, raw, ids, texts)``; the last is ``{prefix}_gated``."""
+    fence = rf"(?s)\A```(?:json)?{SP}*(.*?){SP}*```(?:\n|\z)"
+    p = prefix
+    strip_x = strip("x")
+    return rf"""
+{p}_cut AS (SELECT *, {strip('raw')} AS s FROM {source}),
+{p}_inner AS (SELECT *, CASE WHEN regexp_matches(s, '{fence}') THEN regexp_extract(s, '{fence}', 1)
+                        ELSE s END AS inside FROM {p}_cut),
+{p}_body AS (SELECT *, CASE WHEN regexp_extract(inside, '(?s)\{{.*\}}') <> ''
+             THEN regexp_extract(inside, '(?s)\{{.*\}}') ELSE inside END AS body FROM {p}_inner),
+{p}_obj AS (SELECT *, CASE WHEN json_valid(body) THEN
+              CASE WHEN json_type(body) = 'OBJECT' THEN body END END AS j FROM {p}_body),
+{p}_kinds AS (SELECT *, json_type(j, '$.answer') AS ka, json_type(j, '$.sources') AS ks,
+                json_type(j, '$.refuse') AS kr,
+                len(list_filter(json_extract(j, '$.sources[*]'),
+                                lambda e: json_type(e) <> 'VARCHAR')) AS odd FROM {p}_obj),
+{p}_contract AS (SELECT *, list_filter(
+   CASE WHEN j IS NULL THEN ['Invalid JSON: no JSON object could be parsed']
+        WHEN ka IS NULL OR ks IS NULL OR kr IS NULL
+        THEN ['JSON missing required contract fields: ''answer'', ''sources'', ''refuse''.']
+        ELSE [CASE WHEN ka <> 'VARCHAR' THEN 'Contract field ''answer'' must be str, got int.' END,
+              CASE WHEN ks <> 'ARRAY' OR odd > 0
+                   THEN 'Contract field ''sources'' must be a list of strings, got list.' END,
+              CASE WHEN kr = 'VARCHAR' THEN 'Contract field ''refuse'' must be a boolean (True/False), got str (value: ''' || json_extract_string(j, '$.refuse') || ''').'
+                   WHEN kr = 'NULL' THEN 'Contract field ''refuse'' must be a boolean (True/False), got NoneType (value: None).' END]
+   END, lambda m: m IS NOT NULL) AS contract FROM {p}_kinds),
+{p}_typed AS (SELECT *, len(contract) = 0 AS valid,
+   CASE WHEN len(contract) = 0 THEN {strip("json_extract_string(j, '$.answer')")} END AS answer,
+   CASE WHEN len(contract) = 0 THEN json_extract_string(j, '$.sources[*]') END AS sources,
+   CASE WHEN len(contract) = 0 THEN json_extract_string(j, '$.refuse') = 'true' ELSE false END AS refused
+   FROM {p}_contract),
+{p}_cited AS (SELECT *,
+   list_distinct(list_filter(list_transform(sources, lambda x: {strip_x}), lambda x: x <> '')) AS cited,
+   array_to_string(list_filter(list_transform(sources, lambda x:
+     CASE WHEN list_contains(ids, {strip_x}) THEN texts[list_position(ids, {strip_x})] END),
+     lambda t: t IS NOT NULL), ' ') AS cited_text,
+   {ratio('question')} AS q_ratio, {ratio("coalesce(answer, '')")} AS a_ratio FROM {p}_typed),
+{p}_words AS (SELECT *,
+   list_sort(list_filter(cited, lambda x: NOT list_contains(ids, x))) AS fake,
+   list_transform({numbers('cited_text')}, lambda n: trim(n, '%')) AS known_numbers,
+   {numbers('answer')} AS answer_numbers,
+   list_distinct({tokens('answer')}) AS words, list_distinct({tokens('cited_text')}) AS known
+   FROM {p}_cited),
+{p}_measured AS (SELECT *,
+   list_filter(answer_numbers, lambda n: NOT list_contains(known_numbers, trim(n, '%'))) AS loose,
+   coalesce(CASE WHEN len(known) > 0 AND len(words) > 0
+            THEN len(list_intersect(words, known))::DOUBLE / len(words) END, 0.0) AS overlap,
+   CASE WHEN len(sources) = 0 THEN 'Answer cites no sources (sources list is empty).'
+        WHEN len(cited) = 0 THEN 'Answer contains only empty or whitespace source citations.'
+        WHEN len(fake) > 0 THEN 'Cited source ID(s) not in retrieved passages: ' || {quoted_list('fake')} || '.'
+   END AS source_fault,
+   CASE WHEN q_ratio >= 0.30 AND a_ratio < 0.20
+        THEN 'Question was in Devanagari script (' || {percent('q_ratio')} || '), but answer is in Latin script (' || {percent('a_ratio')} || ').'
+        WHEN q_ratio < 0.30 AND a_ratio >= 0.30
+        THEN 'Question was in Latin script, but answer is in Devanagari script (' || {percent('a_ratio')} || ').'
+   END AS script_fault, CAST({limit} AS DOUBLE) AS lim FROM {p}_words),
+{p}_gated AS (SELECT *,
+   valid AND NOT refused AS answered,
+   CASE WHEN NOT valid THEN contract WHEN refused THEN CAST([] AS VARCHAR[]) ELSE list_filter([
+     source_fault,
+     CASE WHEN len(loose) > 0 THEN 'Answer contains ungrounded number(s) not found in cited sources: ' || {quoted_list('loose')} END,
+     CASE WHEN overlap < lim OR len(known) = 0 OR len(words) = 0
+          THEN 'Token overlap (' || {percent('overlap')} || ') is below threshold (' || {percent('lim')} || ').' END,
+     script_fault], lambda m: m IS NOT NULL) END AS failures,
+   CASE WHEN len(failures) > 0 THEN 'failed' WHEN refused THEN 'refused' ELSE 'passed' END AS outcome
+   FROM {p}_measured)"""
