@@ -11,28 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPLITTER = 134217729.0  # 2**27 + 1
+SPLITTER = 2**27 + 1
 
 
-def exact_round(value: Column, digits: int) -> Column:
-    """Round a DOUBLE column. Pass a plain column: the expression uses it many times."""
-    scale = float(10**digits)
-    spread = value * F.lit(SPLITTER)
-    high = spread - (spread - value)
-    low = value - high
-    head, tail = high * F.lit(scale), low * F.lit(scale)
-    floor = F.floor(head + tail).cast("double")
-    above_tie = (head - floor - F.lit(0.5)) + tail
-    odd = F.pmod(floor, F.lit(2.0)) == 1.0
-    up = (above_tie > 0) | ((above_tie == 0) & odd)
-    return F.when(up, floor + 1.0).otherwise(floor) / F.lit(scale)
+def _rounded(value: str, digits: int) -> str:
+    scale = f"{10**digits}D"
+    spread = f"({value} * {SPLITTER}D)"
+    high = f"({spread} - ({spread} - {value}))"
+    head, tail = f"({high} * {scale})", f"(({value} - {high}) * {scale})"
+    floor = f"cast(floor({head} + {tail}) AS double)"
+    over = f"(({head} - {floor} - 0.5D) + {tail})"
+    up = f"({over} > 0 OR ({over} = 0 AND pmod({floor}, 2D) = 1))"
+    return f"(({floor} + CASE WHEN {up} THEN 1D ELSE 0D END) / {scale})"
+
+
+def exact_round(name: str, digits: int) -> Column:
+    """Round the DOUBLE column ``name``, given as SQL text since it is used many times."""
+    return F.expr(_rounded(name, digits))
 
 
 def round_columns(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Round several DOUBLE columns in place."""
-    return df.withColumns({name: exact_round(F.col(name), n) for name, n in digits.items()})
+    return df.withColumns({name: exact_round(name, n) for name, n in digits.items()})
 
 
-def percent_text(value: Column) -> Column:
-    """A ratio as text with one decimal, e.g. 0.667 -> '66.7%'."""
-    return F.format_string("%.1f%%", exact_round(value.cast("double") * 100.0, 1))
+def percent_text(name: str) -> Column:
+    """The ratio column ``name`` as text with one decimal, e.g. 0.667 -> '66.7%'."""
+    return F.expr(f"format_string('%.1f%%', {_rounded(f'({name} * 100D)', 1)})")

@@ -150,23 +150,24 @@ def devanagari_ratio(text: Column) -> Column:
     return F.coalesce(F.try_divide(deva, alpha), F.lit(0.0))
 
 
-def _strings(words: list[str]) -> Column:
-    return F.array(*_literals(words))
+def word_array(words: list[str]) -> Column:
+    """A constant array of words, folded from one literal."""
+    return F.split(F.lit(" ".join(words)), " ")
 
 
 def candidate_languages(text: Column) -> Column:
     """['en'], ['hi'], ['mr'], or ['hi', 'mr'] when the marker words do not decide."""
     tokens = raw_tokens(text)
-    marathi = F.size(F.array_intersect(tokens, _strings(lx.MARKERS_MR)))
-    hindi = F.size(F.array_intersect(tokens, _strings(lx.MARKERS_HI)))
+    marathi = F.size(F.array_intersect(tokens, word_array(lx.MARKERS_MR)))
+    hindi = F.size(F.array_intersect(tokens, word_array(lx.MARKERS_HI)))
     lead = F.when(devanagari_ratio(text) < lx.ROUTING_RATIO, F.lit(None)).otherwise(marathi - hindi)
     # one comparison value, bound once
     pick = F.transform(
         F.array(lead),
-        lambda d: F.when(d.isNull(), _strings(["en"]))
-        .when(d > 0, _strings(["mr"]))
-        .when(d < 0, _strings(["hi"]))
-        .otherwise(_strings(["hi", "mr"])),
+        lambda d: F.when(d.isNull(), word_array(["en"]))
+        .when(d > 0, word_array(["mr"]))
+        .when(d < 0, word_array(["hi"]))
+        .otherwise(word_array(["hi", "mr"])),
     )
     return F.get(pick, F.lit(0))
 

@@ -76,9 +76,9 @@ def ungrounded_numbers(answer: Column, cited: Column) -> Column:
     )
 
 
-def content_words(text: Column, lang: str | None = None) -> Column:
-    """Distinct tokens without stopwords (of all languages unless one is given)."""
-    return F.array_distinct(tx.tokenize(text, True, lang))
+def content_words(text: Column) -> Column:
+    """Distinct tokens without the stopwords of any language."""
+    return F.array_except(tx.raw_tokens(text), tx.word_array(lx.STOPWORDS_ANY))
 
 
 def overlap_ratio(words: Column, known: Column) -> Column:
@@ -87,11 +87,11 @@ def overlap_ratio(words: Column, known: Column) -> Column:
     return F.when(F.size(known) > 0, F.try_divide(shared, F.size(words)))
 
 
-def script_failure(question_ratio: Column, answer_ratio: Column) -> Column:
-    """NULL when the scripts agree, else the failure message."""
-    asked_in_devanagari = question_ratio >= lx.QUESTION_RATIO
+def script_failure(question_ratio: str, answer_ratio: str) -> Column:
+    """NULL when the scripts agree, else the failure message; takes names of ratio columns."""
+    asked_in_devanagari = F.col(question_ratio) >= lx.QUESTION_RATIO
     return F.when(
-        asked_in_devanagari & (answer_ratio < lx.ANSWER_RATIO),
+        asked_in_devanagari & (F.col(answer_ratio) < lx.ANSWER_RATIO),
         F.concat(
             F.lit("Question was in Devanagari script ("),
             percent_text(question_ratio),
@@ -100,7 +100,7 @@ def script_failure(question_ratio: Column, answer_ratio: Column) -> Column:
             F.lit(")."),
         ),
     ).when(
-        ~asked_in_devanagari & (answer_ratio >= lx.QUESTION_RATIO),
+        ~asked_in_devanagari & (F.col(answer_ratio) >= lx.QUESTION_RATIO),
         F.concat(
             F.lit("Question was in Latin script, but answer is in Devanagari script ("),
             percent_text(answer_ratio),
@@ -181,7 +181,7 @@ def verify(
             "_source_fault": check_sources_real(
                 F.col("_sources"), passage_ids(F.col(retrieved))
             ),
-            "_script_fault": script_failure(F.col("_q_ratio"), F.col("_a_ratio")),
+            "_script_fault": script_failure("_q_ratio", "_a_ratio"),
         }
     ).withColumn("_overlap", overlap_ratio(F.col("_words"), F.col("_known"))
     ).withColumn("_ratio", F.coalesce("_overlap", F.lit(0.0)))
@@ -203,9 +203,9 @@ def verify(
                 ~overlap_ok,
                 F.concat(
                     F.lit("Token overlap ("),
-                    percent_text(F.col("_ratio")),
+                    percent_text("_ratio"),
                     F.lit(") is below threshold ("),
-                    percent_text(F.col("_limit")),
+                    percent_text("_limit"),
                     F.lit(")."),
                 ),
             ),
@@ -230,14 +230,14 @@ def verify(
         "answer": F.col("_answer"),
         "sources": F.col("_sources"),
         "refuse": F.col("_refuse"),
-        "question_devanagari_ratio": F.when(valid, exact_round(F.col("_q_ratio"), 3)),
-        "answer_devanagari_ratio": F.when(valid, exact_round(F.col("_a_ratio"), 3)),
+        "question_devanagari_ratio": F.when(valid, exact_round("_q_ratio", 3)),
+        "answer_devanagari_ratio": F.when(valid, exact_round("_a_ratio", 3)),
         "warnings": F.when(
             refused & F.col("_script_fault").isNotNull(),
             F.array(F.concat(F.lit("Refusal script mismatch: "), F.col("_script_fault"))),
         ),
         "ungrounded_numbers": F.when(answered, F.col("_loose")),
-        "token_overlap_ratio": F.when(answered, exact_round(F.col("_ratio"), 3)),
+        "token_overlap_ratio": F.when(answered, exact_round("_ratio", 3)),
         "overlap_threshold": F.when(answered, F.col("_limit")),
     }
     result = F.struct(

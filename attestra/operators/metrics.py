@@ -101,7 +101,7 @@ def _seconds(value: Column) -> Column:
 
 def comparison_line() -> Column:
     """One Markdown row of the setup comparison."""
-    p = lambda name: percent_text(F.col(name))
+    p = lambda name: percent_text(name)
     return _cells(
         F.col("setup"),
         F.col("total_questions"),
@@ -120,7 +120,7 @@ def comparison_line() -> Column:
 
 def language_line() -> Column:
     """One Markdown row of a per-language table."""
-    p = lambda name: percent_text(F.col(name))
+    p = lambda name: percent_text(name)
     return _cells(
         F.upper("lang"),
         F.col("total_questions"),
@@ -136,7 +136,7 @@ def language_line() -> Column:
 
 def sweep_line() -> Column:
     """One Markdown row of the threshold sweep."""
-    p = lambda name: percent_text(F.col(name))
+    p = lambda name: percent_text(name)
     return _cells(
         F.format_string("%.2f", F.col("overlap_threshold")),
         p("citation_valid_rate"),
@@ -149,7 +149,7 @@ def sweep_line() -> Column:
 
 def console_line() -> Column:
     """One fixed-width row of the console summary."""
-    p = lambda name: percent_text(F.col(name))
+    p = lambda name: percent_text(name)
     columns = [
         (F.col("setup"), 12),
         (F.col("total_questions").cast("string"), 6),

@@ -65,7 +65,7 @@ def capability(answers: DataFrame) -> DataFrame:
     return full.select(
         *[c for c in answers.columns],
         "json_valid",
-        exact_round(F.col("_ratio"), 3).alias("script_ratio"),
+        exact_round("_ratio", 3).alias("script_ratio"),
         F.when(ok, tx.detect_language(F.col("_answer"))).otherwise("unknown").alias("detected_lang"),
         preview(F.col("_answer")).alias("answer_preview"),
     )

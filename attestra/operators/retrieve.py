@@ -222,7 +222,7 @@ def retrieve(
         F.coalesce(title, F.lit("")).alias("title"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    found = body.join(ranked, "pos").withColumn("bm25_score", exact_round(F.col("score"), 3))
+    found = body.join(ranked, "pos").withColumn("bm25_score", exact_round("score", 3))
     passage = F.struct("rank", "pos", "id", "lang", "title", "text", "bm25_score")
     lists = found.groupBy("qid").agg(
         F.array_sort(F.collect_list(passage)).alias("retrieved"),
@@ -237,7 +237,7 @@ def retrieve(
             "precheck_passed",
             F.col("retrieved").isNotNull() & (F.col("_top") >= F.lit(cfg.min_score)),
         )
-        .withColumn("top_score", exact_round(F.col("_top"), 3))
+        .withColumn("top_score", exact_round("_top", 3))
         .withColumn("retrieved", F.coalesce("retrieved", none))
         .withColumn(
             "resolved_lang",

@@ -170,7 +170,7 @@ def judge_records(staged: DataFrame, source: CompletionSource) -> DataFrame:
         retrieved_passage_ids=F.when(failed, _no_texts()).otherwise(F.col("_rank_ids")),
         model_calls=F.when(~asked_judge, F.col("raw_calls")).when(failed, 0).otherwise(2),
         escalated=F.lit(False),
-        latency=exact_round(F.col("_latency"), 2),
+        latency=exact_round("_latency", 2),
         is_grounded=F.when(~asked_judge, F.col("raw_grounded"))
         .when(failed, False)
         .when(agrees, F.col("_audit")["passed"])
@@ -197,7 +197,7 @@ def gate_records(answered: DataFrame) -> DataFrame:
         retrieved_passage_ids=F.col("trace")["retrieval"]["retrieved_passage_ids"],
         model_calls=F.col("model_calls"),
         escalated=F.col("escalated"),
-        latency=exact_round(F.col("_latency"), 2),
+        latency=exact_round("_latency", 2),
         is_grounded=error.isNull() & (F.col("outcome") == "passed"),
         error_details=error,
     )

@@ -109,7 +109,7 @@ def token_overlap(spark, sf_dir):
     ratio = F.coalesce(gate.overlap_ratio(F.col("words"), F.col("known")), F.lit(0.0))
     measured = words.withColumn("r", ratio)
     return measured.select(
-        "key", exact_round(F.col("r"), 3).alias("ratio"), (F.col("r") >= 0.6).alias("enough")
+        "key", exact_round("r", 3).alias("ratio"), (F.col("r") >= 0.6).alias("enough")
     )
 
 
@@ -120,7 +120,7 @@ def language_match(spark, sf_dir):
         tx.devanagari_ratio(F.col("question")).alias("q"),
         tx.devanagari_ratio(F.col("_answer")).alias("a"),
     )
-    return ratios.select("key", gate.script_failure(F.col("q"), F.col("a")).alias("fault"))
+    return ratios.select("key", gate.script_failure("q", "a").alias("fault"))
 
 
 def gate_columns(g: Column) -> list[Column]:

@@ -47,7 +47,7 @@ def corpus_stats(spark, sf_dir):
 
 def _ranked(df):
     return df.select(
-        "qid", F.col("rank").cast("long").alias("rank"), "pos", exact_round(F.col("score"), 3).alias("bm25_score")
+        "qid", F.col("rank").cast("long").alias("rank"), "pos", exact_round("score", 3).alias("bm25_score")
     )
 
 

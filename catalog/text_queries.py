@@ -154,7 +154,7 @@ _SQL_SCRIPT = (
 def detect_script(spark, sf_dir):
     texts = _script_texts(spark, sf_dir)
     ratio = texts.select("conv_id", "turn", tx.devanagari_ratio(F.col("text")).alias("r"))
-    return ratio.select("conv_id", "turn", exact_round(F.col("r"), 3).alias("ratio"))
+    return ratio.select("conv_id", "turn", exact_round("r", 3).alias("ratio"))
 
 
 def candidate_languages(spark, sf_dir):
