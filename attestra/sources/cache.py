@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.records import request_key
-from ..session import broadcast_if_fits
+from ..session import broadcast_if_fits, stage
 
 COMPLETION = (
     "struct<text:string,provider:string,model:string,latency:double,finish_reason:string>"
@@ -43,9 +43,11 @@ def lookup(
     """Add ``completion``: the hit of the first provider, in configured order, that has one.
 
     ``requests`` needs ``messages`` and may have a boolean ``wanted``; other rows get no hit.
-    Only cache entries of requested keys are joined. Repeated requests share a key; a very
+    The requests are staged first, so neither the keys nor the joins below carry the plan that made
+    the messages. Only cache entries of requested keys are joined. Repeated requests share a key; a very
     frequent one is split by the adaptive skew join, since each key meets one cache row.
     """
+    requests = stage(requests, "requests")
     wanted = F.col("wanted") if "wanted" in requests.columns else F.lit(True)
     keyed = requests
     for i, provider in enumerate(cfg.provider_order):
