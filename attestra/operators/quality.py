@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contract as ct
@@ -89,7 +89,6 @@ def model_listing(models: DataFrame, family: str, found: int = 10, other: int =
     mine = models.withColumn("family", F.contains(F.lower("id"), F.lit(family.lower())))
     matched = mine.where("family").orderBy("pos").limit(found)
     rest = mine.where("NOT family").orderBy("pos").limit(other)
-    chosen = matched.unionByName(rest)
-    any_match = matched.agg((F.count("*") > 0).alias("any_match"))  # one row
-    both = chosen.join(F.broadcast(any_match), F.lit(True))
-    return both.where(F.col("family") == F.col("any_match")).drop("any_match")
+    chosen = matched.unionByName(rest)  # at most found + other rows
+    any_match = F.bool_or("family").over(Window.partitionBy(F.lit(0)))
+    return chosen.withColumn("any_match", any_match).where("family = any_match").drop("any_match")

@@ -250,7 +250,7 @@ def run_benchmark(
     completed = stage(cascade.first_attempt(retrieved, source), "tier1")
     parts = []
     if "raw" in setups or "llm_judge" in setups:
-        raw = raw_stage(completed)
+        raw = stage(raw_stage(completed), "raw")
         if "raw" in setups:
             parts.append(raw_records(raw))
         if "llm_judge" in setups:

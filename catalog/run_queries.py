@@ -17,6 +17,7 @@ from attestra.operators import metrics as mt
 from attestra.operators.retrieve import route
 from attestra.plans import benchmark as bm
 from attestra.plans import cascade
+from attestra.session import stage
 
 from . import gate_queries, inputs, sql
 from .gate_queries import SQL_VERDICT, gate_columns
@@ -185,8 +186,13 @@ def _gate(spark, sf_dir) -> DataFrame:
 
 
 def _records(spark, sf_dir) -> DataFrame:
-    raw, judge, gated = (f(spark, sf_dir) for f in (_raw, _judge, _gate))
-    return raw.unionByName(judge).unionByName(gated)
+    """Records of the three setups over one staged first attempt, as ``run_benchmark`` has them."""
+    source, limit = DerivedSource(), F.lit(CFG.overlap_threshold)
+    completed = stage(_completed(spark, sf_dir), "completed")
+    raw = stage(bm.raw_stage(completed), "raw")
+    checked = cascade.second_attempt(cascade.attempt_one(completed, limit), source, limit)
+    parts = [bm.raw_records(raw), bm.judge_records(raw, source), bm.gate_records(cascade.decide(checked))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _flat(records: DataFrame) -> DataFrame:

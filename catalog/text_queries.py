@@ -50,8 +50,14 @@ def _sql_list(source: str, key: str, items: str) -> str:
 
 
 # documents with zero-width characters, decomposed accents or other scripts worked in
-_ZW = [("e ", "e​ "), ("th", "t‍h"), ("on", "o­n"), (". ", ".﻿ ")]
-_MARKS = [("e", "é"), ("a", "ạ̀"), ("n", "ऩ"), ("k", "क़"), ("r", "K")]
+_ZW = [("e ", "e\u200b "), ("th", "t\u200dh"), ("on", "o\u00adn"), (". ", ".\ufeff ")]
+_MARKS = [
+    ("e", "e\u0301"),
+    ("a", "a\u0300\u0323"),
+    ("n", "\u0928\u093c"),
+    ("k", "\u0958"),
+    ("r", "\u212a"),
+]
 
 
 def _replaced(text: Column, pairs) -> Column:
@@ -124,14 +130,15 @@ _ORDER_TEXT = (
 
 
 def number_formats(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.select("l_orderkey", "l_linenumber", F.expr(_ORDER_TEXT).alias("line")).select(
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey")
+    found = lines.select(
+        "l_orderkey", "l_linenumber", F.expr(_ORDER_TEXT).alias("line")
+    ).withColumn("found", tx.extract_numbers(F.col("line")))
+    return found.select(
         "l_orderkey",
         "l_linenumber",
-        F.array_join(tx.extract_numbers(F.col("line")), " ").alias("numbers"),
-        F.array_join(
-            F.transform(tx.extract_numbers(F.col("line")), tx.bare_number), " "
-        ).alias("bare_numbers"),
+        F.array_join("found", " ").alias("numbers"),
+        F.array_join(F.transform("found", tx.bare_number), " ").alias("bare_numbers"),
     )
 
 
