@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries_native
+from . import queries_native, queries_text
 
-QUERIES = {**queries_native.QUERIES}
+QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES}

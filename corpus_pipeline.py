@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm.common import read_table, shared_path
 from attestra.llm.curriculum import mix_documents
+from attestra.llm.decontaminate import drop_contaminated
 from attestra.llm.host_rules import keep_documents
+from attestra.llm.language import keep_identified
+from attestra.llm.simhash import drop_near_duplicates
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is told with confidence."""
+    return keep_identified(docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +22,28 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passes over documents in training order."""
     return mix_documents(docs)
 
 
-STAGES = [("quality rules", rules), ("mixing", mix)]
+STAGES = [
+    ("language ID", language),
+    ("quality rules", rules),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing to target weights", mix),
+]
 
 #: Near-duplicate components and hashes have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
