@@ -130,8 +130,11 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str =
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h")
     )
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    part = F.least(F.lit(1.0), how.sample_chars / F.col("chars"))
-    sample = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1_000_003)) < part * 1_000_003).select("lang", "text")
+    parts = [x for r in sizes.collect() for x in (F.lit(r["lang"]), F.lit(how.sample_chars / r["chars"]))]
+    if not parts:
+        return Model([], [{}], np.zeros((0, 0), np.float32))
+    part = F.element_at(F.create_map(*parts), F.col("lang"))
+    sample = rows.where(F.pmod("h", F.lit(1_000_003)) < part * 1_000_003).select("lang", "text")
     counted = sample.mapInArrow(_Count(how.max_gram), "lang string, level int, item string, n long")
     items = counted.groupBy("level", "item", "lang").agg(F.sum("n").alias("n"))
     items = stage(items, "lang-items")
