@@ -18,7 +18,7 @@ _FOLDED = bytes(ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() else 32 for
 
 @dataclass(frozen=True)
 class Seeds:
-    """``masks``: 1 compares a token, 0 ignores it. Each stands six tokens; together they meet any run of 13
+    """``masks``: 1 compares a token, 0 ignores it. Each compares six or seven tokens; together they meet any run of 13
     tokens with one substitution, and most with two or three.
 
     An overlap is a stretch on one diagonal of a document and an item, of ``min_overlap`` tokens or more (the
