@@ -29,6 +29,7 @@ class Config:
     window_seconds: float = 60.0
     daily_cap: int = 100
     max_question_chars: int = 500
+    trust_proxy: bool = False
     # a table may be broadcast only after its row count was found to be at or below this
     broadcast_max_rows: int = 2_000_000
     # document blocks the query terms are replicated over when they are too many to broadcast

@@ -147,9 +147,13 @@ def verify(
     question: str = "question",
     retrieved: str = "retrieved",
     output: str = "gate",
+    levels: tuple[str, tuple[float, ...]] | None = None,
 ) -> DataFrame:
     """Add the struct ``gate``: passed, outcome, checks, failures, details.
 
+    ``levels`` (column name, thresholds) repeats each row for several thresholds after it was measured,
+    so that texts are read once for all of them; the threshold is added under that name.
+
     With ``raw=None`` the contract columns ``_answer``, ``_sources``, ``_refuse`` are taken as they
     are (an already typed completion).
     """
@@ -171,7 +175,6 @@ def verify(
             "_cited": cited_text(F.col("_sources"), F.col(retrieved)),
             "_q_ratio": tx.devanagari_ratio(F.col(question)),
             "_a_ratio": tx.devanagari_ratio(F.col("_answer")),
-            "_limit": limit.cast("double"),
         }
     ).withColumns(
         {
@@ -185,6 +188,11 @@ def verify(
         }
     ).withColumn("_overlap", overlap_ratio(F.col("_words"), F.col("_known"))
     ).withColumn("_ratio", F.coalesce("_overlap", F.lit(0.0)))
+    if levels:
+        name, values = levels
+        measured = measured.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+        keep, limit = [*keep, name], F.col(name)
+    measured = measured.withColumn("_limit", limit.cast("double"))
     valid = F.size("_contract") == 0
     refused = F.coalesce(F.col("_refuse"), F.lit(False))
     answered = valid & ~refused

@@ -176,8 +176,9 @@ def pacing(requests: DataFrame, requests_per_minute: int) -> DataFrame:
     """Add ``starts_at`` (micros): starts keep arrival order and a gap of 60/rpm seconds.
 
     start_i = max(arrival_i, start_{i-1} + gap) = gap*i + max over j <= i of (arrival_j - gap*j).
-    Ranks and running maxima are computed per second and shifted by the totals of earlier seconds,
-    so only one summary row per second is ordered globally.
+    Ranks and running maxima are computed per second and shifted by the totals of earlier seconds. The
+    seconds are range-sorted; what lies before a range comes from one summary row per range, so
+    nothing but those few rows is ordered in one task.
     """
     timed = requests.withColumn("at", micros(F.col("ts")))
     if requests_per_minute <= 0:
@@ -193,12 +194,24 @@ def pacing(requests: DataFrame, requests_per_minute: int) -> DataFrame:
     totals = ranked.groupBy("_slice").agg(
         F.count("*").alias("_n"), F.max("_lead").alias("_slice_peak")
     )
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offset = totals.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    shifted = offset.withColumn(
-        "_before", F.max(F.col("_slice_peak") - F.col("_offset") * gap).over(earlier)
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = stage(
+        totals.repartitionByRange(tasks, "_slice").withColumn("_range", F.spark_partition_id()), "seconds"
     )
-    joined = running.join(shifted.select("_slice", "_offset", "_before"), "_slice")
+    earlier = Window.partitionBy("_range").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranges.withColumn("_own", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    own_peak = F.col("_slice_peak") - F.col("_own") * gap
+    within = within.withColumn("_own_before", F.max(own_peak).over(earlier))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    heads = within.groupBy("_range").agg(F.sum("_n").alias("_count"), F.max(own_peak).alias("_top"))
+    heads = heads.withColumn("_shift", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    heads = heads.withColumn("_prior", F.max(F.col("_top") - F.col("_shift") * gap).over(before))
+    shifted = within.join(F.broadcast(heads), "_range").select(
+        "_slice",
+        (F.col("_shift") + F.col("_own")).alias("_offset"),
+        F.greatest("_prior", F.col("_own_before") - F.col("_shift") * gap).alias("_before"),
+    )
+    joined = running.join(shifted, "_slice")
     peak = F.greatest(F.col("_peak") - F.col("_offset") * gap, F.col("_before"))
     starts = gap * (F.col("_offset") + F.col("_i")) + peak
     return joined.withColumn("starts_at", starts).select(*requests.columns, "starts_at")

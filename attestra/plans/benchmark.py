@@ -207,12 +207,9 @@ def gate_sweep(
     completed: DataFrame, source: CompletionSource, thresholds: tuple[float, ...] = SWEEP
 ) -> DataFrame:
     """Gate metrics at each overlap threshold, from one retrieval and one tier-1 completion."""
-    levels = F.explode(F.array(*[F.lit(t) for t in thresholds]))
-    spread = completed.withColumn("overlap_threshold", levels)
     limit = F.col("overlap_threshold")
-    answered = cascade.decide(
-        cascade.second_attempt(cascade.attempt_one(spread, limit), source, limit)
-    )
+    spread = cascade.attempt_one(completed, limit, ("overlap_threshold", thresholds))
+    answered = cascade.decide(cascade.second_attempt(spread, source, limit))
     records = gate_records(answered.withColumn("qid", F.struct("qid", "overlap_threshold")))
     return metrics(
         records.withColumn("overlap_threshold", F.col("id")["overlap_threshold"]),

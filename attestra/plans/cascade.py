@@ -10,7 +10,7 @@ from ..functions import contract as ct
 from ..operators import gate
 from ..operators.index import Index
 from ..operators.retrieve import retrieve
-from ..sources.completions import CompletionSource
+from ..sources.completions import REPLAY_MISS, CompletionSource
 
 
 def ask(
@@ -19,9 +19,23 @@ def ask(
     source: CompletionSource,
     cfg: Config = Config(),
     index: Index | None = None,
+    raise_misses: bool = True,
 ) -> DataFrame:
-    """Answer ``questions`` (qid, question, ...) from ``passages``; see ``resolve``."""
-    return resolve(retrieve(questions, passages, cfg, index), source, cfg)
+    """Answer ``questions`` (qid, question, ...) from ``passages``; see ``resolve``.
+
+    A request that replay-only mode can't answer is an error of the whole call, or, without
+    ``raise_misses``, of its own row (see ``is_miss``).
+    """
+    answered = resolve(retrieve(questions, passages, cfg, index), source, cfg)
+    if not (raise_misses and cfg.replay_only):
+        return answered
+    told = F.when(is_miss(), F.raise_error(F.col("trace")["provider_error"]).cast("string"))
+    return answered.withColumn("outcome", F.coalesce(told, F.col("outcome")))
+
+
+def is_miss() -> Column:
+    """True for answered rows that failed since replay-only mode had no completion for them."""
+    return F.coalesce(F.col("trace")["provider_error"].startswith(REPLAY_MISS), F.lit(False))
 
 
 def first_attempt(retrieved: DataFrame, source: CompletionSource) -> DataFrame:
@@ -55,10 +69,15 @@ def second_attempt(
     return attempt(done, "tier2", threshold).withColumnRenamed("error", "tier2_error")
 
 
-def attempt(completed: DataFrame, tier: str, threshold: Column | float) -> DataFrame:
+def attempt(
+    completed: DataFrame,
+    tier: str,
+    threshold: Column | float,
+    levels: tuple[str, tuple[float, ...]] | None = None,
+) -> DataFrame:
     """Verify ``completion`` and fold both into one attempt struct named after the tier."""
     raw = completed.withColumn("_raw", F.col("completion")["text"])
-    verified = gate.verify(raw, threshold, raw="_raw")
+    verified = gate.verify(raw, threshold, raw="_raw", levels=levels)
     g, c = F.col("gate"), F.col("completion")
     record = F.struct(
         F.lit(tier).alias("tier"),
@@ -94,8 +113,12 @@ def resolve(
     return decide(second_attempt(attempt_one(first, limit), source, limit))
 
 
-def attempt_one(completed: DataFrame, threshold: Column | float) -> DataFrame:
-    return attempt(completed, "tier1", threshold).withColumnRenamed("error", "tier1_error")
+def attempt_one(
+    completed: DataFrame,
+    threshold: Column | float,
+    levels: tuple[str, tuple[float, ...]] | None = None,
+) -> DataFrame:
+    return attempt(completed, "tier1", threshold, levels).withColumnRenamed("error", "tier1_error")
 
 
 def decide(attempted: DataFrame) -> DataFrame:

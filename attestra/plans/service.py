@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import lexicon as lx
-from ..functions.records import question_status
+from ..functions.records import client_address, question_status
 from ..functions.text import normalize_question, strip_space
 from ..operators.index import Index
+from ..operators.limits import DAY_FULL, WINDOW_FULL, admission
+from ..session import stage
 from ..sources.completions import CompletionSource
-from .cascade import ask
+from .cascade import ask, is_miss
 
 REPLAYED = ["answer", "sources", "outcome", "escalated", "model_calls", "trace"]
 
@@ -39,6 +41,20 @@ def with_fallback(requests: DataFrame, traces: DataFrame) -> DataFrame:
     return keyed.join(recorded_by_question(traces), "question_key", "left").drop("question_key")
 
 
+def admit(checked: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Turn the status 'ok' of requests over a limit into window_full or day_full.
+
+    Needs qid, ts, peer and forwarded next to ``status``. Only valid requests count. Limits are decided on
+    ids, times and callers; questions are joined back by id.
+    """
+    caller = client_address(F.col("forwarded"), F.col("peer"), cfg.trust_proxy)
+    events = checked.where("status = 'ok'").select(F.col("qid").alias("event_id"), caller.alias("client"), "ts")
+    verdicts = admission(events, cfg).select(F.col("event_id").alias("_id"), "verdict")
+    joined = checked.join(verdicts, checked["qid"] == verdicts["_id"], "left")
+    refused = F.col("verdict").isin(WINDOW_FULL, DAY_FULL)
+    return joined.withColumn("status", F.when(refused, F.col("verdict")).otherwise(F.col("status"))).drop("_id", "verdict")
+
+
 def answer_requests(
     requests: DataFrame,
     passages: DataFrame,
@@ -47,31 +63,46 @@ def answer_requests(
     cfg: Config = Config(),
     index: Index | None = None,
 ) -> DataFrame:
-    """Answer valid requests (qid, question); failed calls fall back to recorded runs.
+    """Answer requests (qid, question; with ts, peer and forwarded, limits apply).
 
-    Rejected requests are returned with their status and no answer.
+    ``status`` is ok, the reason why a question is invalid, window_full, day_full, or unavailable: the request
+    may only be answered from the cache, which lacks it, and no recorded run has the question. Only
+    such misses fall back to recorded runs; a failure of the providers is an answer, the safe refusal.
+    Requests with another status than ok have no answer.
     """
     checked = validate(requests, cfg)
-    answered = ask(checked.where("status = 'ok'"), passages, source, cfg, index).select(
-        "qid", "question", "status", *REPLAYED, F.lit(False).alias("is_cached_example")
-    )
-    if traces is not None:
-        answered = _replay(answered, traces)
-    notice = F.when(F.col("is_cached_example"), F.lit(lx.FALLBACK_NOTICE))
+    if {"ts", "peer", "forwarded"} <= set(requests.columns):
+        checked = admit(checked, cfg)
+    checked = stage(checked, "checked")
+    answered = ask(checked.where("status = 'ok'"), passages, source, cfg, index, raise_misses=False)
+    answered = answered.withColumn("_miss", is_miss()).select("qid", "question", "status", "_miss", *REPLAYED)
+    done = _replay(answered, traces)
     rejected = checked.where("status <> 'ok'").select("qid", "question", "status")
-    return answered.withColumn("notice", notice).unionByName(rejected, allowMissingColumns=True)
-
-
-def _replay(answered: DataFrame, traces: DataFrame) -> DataFrame:
-    matched = with_fallback(answered, traces)
-    use = F.col("trace")["provider_error"].isNotNull() & F.col("run").isNotNull()
-
-    def value(name: str) -> Column:
-        return F.when(use, F.col("run")[name]).otherwise(F.col(name))
-
-    # recorded traces have their own schema, so the trace of the failed call is kept
-    taken = {c: value(c) for c in REPLAYED if c != "trace"}
-    return matched.withColumns({**taken, "is_cached_example": use}).drop("run")
+    return done.unionByName(rejected, allowMissingColumns=True)
+
+
+def _replay(answered: DataFrame, traces: DataFrame | None) -> DataFrame:
+    """Misses take a recorded run, with its trace as JSON in ``recorded_trace``, or become unavailable."""
+    miss = F.col("_miss")
+    if traces is None:
+        matched, found = answered, F.lit(False)
+        run = dict.fromkeys(REPLAYED, F.lit(None))
+    else:
+        matched, found = with_fallback(answered, traces), F.col("run").isNotNull()
+        given = matched.schema["run"].dataType.names
+        run = {c: F.col("run")[c] if c in given else F.lit(None) for c in REPLAYED}
+    taken = {c: F.when(miss, run[c]).otherwise(F.col(c)) for c in REPLAYED if c != "trace"}
+    recorded = F.to_json(run["trace"]) if traces is not None and "trace" in given else F.lit(None).cast("string")
+    return matched.withColumns(
+        {
+            **taken,
+            "trace": F.when(~miss, F.col("trace")),
+            "recorded_trace": F.when(miss, recorded),
+            "status": F.when(miss & ~found, "unavailable").otherwise(F.col("status")),
+            "is_cached_example": miss & found,
+            "notice": F.when(miss & found, F.lit(lx.FALLBACK_NOTICE)),
+        }
+    ).drop("run", "_miss")
 
 
 def health(passages: DataFrame, cfg: Config = Config()) -> DataFrame:

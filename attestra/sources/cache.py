@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.records import request_key
-from ..session import broadcast_if_fits, stage
+from ..session import stage
 
 COMPLETION = (
     "struct<text:string,provider:string,model:string,latency:double,finish_reason:string>"
@@ -20,8 +21,6 @@ SCHEMA = (
     f"key string, provider string, model string, messages {MESSAGES}, params {PARAMS}, "
     f"completion {COMPLETION}, written_at timestamp"
 )
-# a cached completion can be tens of kilobytes, so far fewer rows than usual may be broadcast
-_MAX_BROADCAST_ROWS = 10_000
 
 
 def params_of(cfg: Config) -> Column:
@@ -43,27 +42,28 @@ def lookup(
     """Add ``completion``: the hit of the first provider, in configured order, that has one.
 
     ``requests`` needs ``messages`` and may have a boolean ``wanted``; other rows get no hit.
-    The requests are staged first, so neither the keys nor the joins below carry the plan that made
-    the messages. Only cache entries of requested keys are joined. Repeated requests share a key; a very
-    frequent one is split by the adaptive skew join, since each key meets one cache row.
+    The requests are staged with a number each, so that neither the keys nor the join below carry the
+    plan that made the messages. Every (request, provider) is one small row; these are joined once with
+    the entries, and the entry of the first provider goes back to the request by its number. Entries
+    are reduced to requested keys before the newest of each is taken. A key that very many requests share is
+    split by the adaptive skew join, since it meets one entry.
     """
-    requests = stage(requests, "requests")
-    wanted = F.col("wanted") if "wanted" in requests.columns else F.lit(True)
-    keyed = requests
-    for i, provider in enumerate(cfg.provider_order):
-        key = request_key(
-            F.lit(provider), F.lit(models[provider]), F.col("messages"), params_of(cfg)
+    columns = requests.columns
+    numbered = stage(requests.withColumn("_request", F.monotonically_increasing_id()), "requests")
+    wanted = F.col("wanted") if "wanted" in columns else F.lit(True)
+    offers = [
+        F.struct(
+            F.lit(i).alias("ord"),
+            request_key(F.lit(p), F.lit(models[p]), F.col("messages"), params_of(cfg)).alias("key"),
         )
-        keyed = keyed.withColumn(f"_key{i}", F.when(wanted, key))
-    names = [f"_key{i}" for i in range(len(cfg.provider_order))]
-    asked = keyed.select(F.explode(F.array(*names)).alias("key")).where("key IS NOT NULL")
-    hits = latest(entries.join(asked.distinct(), "key", "left_semi"))
-    hits = broadcast_if_fits(hits, _MAX_BROADCAST_ROWS)
-    for i, name in enumerate(names):
-        side = hits.select(F.col("key").alias(name), F.col("completion").alias(f"_hit{i}"))
-        keyed = keyed.join(side, name, "left")
-    found = F.coalesce(*[F.col(f"_hit{i}") for i in range(len(names))])
-    return keyed.select(*requests.columns, found.alias("completion"))
+        for i, p in enumerate(cfg.provider_order)
+    ]
+    asked = stage(
+        numbered.where(wanted).select("_request", F.explode(F.array(*offers)).alias("o")).select("_request", "o.*"), "asked"
+    )
+    hits = latest(entries.join(asked.select("key").distinct(), "key", "left_semi"))
+    first = asked.join(hits, "key").groupBy("_request").agg(F.min_by("completion", "ord").alias("completion"))
+    return numbered.join(first, "_request", "left").select(*columns, "completion")
 
 
 @dataclass(frozen=True)
@@ -77,8 +77,10 @@ class CompletionCache:
         reader = self.spark.read.schema(SCHEMA).option("ignoreCorruptFiles", "true")
         try:
             return reader.option("ignoreMissingFiles", "true").parquet(self.path)
-        except Exception:  # nothing written yet
-            return self.spark.createDataFrame([], SCHEMA)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], SCHEMA)  # nothing written yet
 
     def put(self, rows: DataFrame) -> bool:
         """Append (provider, model, messages, params, completion) rows; False if that fails."""

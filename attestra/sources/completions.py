@@ -27,6 +27,8 @@ ENDPOINTS = {
 MAX_RETRIES = 2
 LENGTH_FACTOR = 4
 MAX_TOKENS_CAP = 8192
+#: error of a request that may only be answered from the cache and is not in it
+REPLAY_MISS = "replay only: no cached completion"
 
 
 class CompletionSource(Protocol):
@@ -46,12 +48,8 @@ class TableSource:
     def complete(self, requests: DataFrame, tier: str) -> DataFrame:
         found = lookup(requests, self.cache.entries(), self.models[tier], self.cfg)
         missing = F.col("wanted") & F.col("completion").isNull()
-        if self.cfg.replay_only:
-            miss = F.raise_error(
-                F.lit(f"replay only: no cached completion for {list(self.cfg.provider_order)}")
-            )
-            return found.withColumn("error", F.when(missing, miss.cast("string")))
-        return found.withColumn("error", F.when(missing, F.lit("no cached completion")))
+        miss = REPLAY_MISS if self.cfg.replay_only else "no cached completion"
+        return found.withColumn("error", F.when(missing, F.lit(miss)))
 
 
 Reply = tuple[int, dict[str, Any] | None, str | None, float]
@@ -82,7 +80,7 @@ def http_transport(url: str, payload: dict[str, Any], api_key: str, timeout: int
 class RemoteSource:
     """Completions from remote endpoints, asked inside ``mapInPandas`` batches.
 
-    ``connections`` tasks share the request rate. The result is staged, so a retried or re-read
+    ``connections`` tasks share the request rate; equal requests of a batch are asked once. The result is staged, so a retried or re-read
     plan never repeats a call, and new completions go to the cache when one is given.
     """
 
@@ -102,11 +100,11 @@ class RemoteSource:
             known = requests.withColumn("completion", F.lit(None).cast(COMPLETION))
         open_ = F.col("wanted") & F.col("completion").isNull()
         if self.cfg.replay_only:
-            miss = F.raise_error(F.lit("replay only: no cached completion")).cast("string")
-            return known.withColumn("error", F.when(open_, miss))
+            return known.withColumn("error", F.when(open_, F.lit(REPLAY_MISS)))
         # cached completions are read once; the calls below see only the small request columns
-        known = stage(known.withColumn("_row", F.expr("uuid()")), f"{tier}-requests")
-        asked = known.where(open_).select("_row", F.to_json("messages").alias("messages"))
+        known = stage(known.withColumn("_row", F.when(open_, F.sha2(F.to_json("messages"), 256))), f"{tier}-requests")
+        # equal requests are asked once and share the reply
+        asked = known.where(open_).groupBy("_row").agg(F.any_value(F.to_json("messages")).alias("messages"))
         replies = asked.repartition(self.connections).mapInPandas(
             self._caller(models), f"_row string, completion {COMPLETION}, error string"
         )
@@ -115,14 +113,18 @@ class RemoteSource:
             replies.withColumnRenamed("completion", "_new"), "_row", "left"
         ).withColumn("completion", F.coalesce("completion", "_new"))
         if self.cache:
-            fresh = answered.where(F.col("_new").isNotNull()).select(
-                F.col("_new")["provider"].alias("provider"),
-                F.col("_new")["model"].alias("model"),
-                "messages",
-                params_of(self.cfg).alias("params"),
-                F.col("_new").alias("completion"),
+            fresh = answered.where(F.col("_new").isNotNull()).groupBy("_row").agg(
+                F.any_value("_new").alias("completion"), F.any_value("messages").alias("messages")
+            )
+            self.cache.put(
+                fresh.select(
+                    F.col("completion")["provider"].alias("provider"),
+                    F.col("completion")["model"].alias("model"),
+                    "messages",
+                    params_of(self.cfg).alias("params"),
+                    "completion",
+                )
             )
-            self.cache.put(fresh)
         return answered.drop("_row", "_new")
 
     def _caller(self, models: dict[str, str]) -> Callable:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.lexicon import RESULT_CAVEATS
 from ..functions.text import strip_space
 
 PASSAGE = "id string, topic_id string, title string, text string, lang string, source_url string"
@@ -73,12 +72,15 @@ def read_traces(
         rows = (reader.schema(schema) if schema else reader).json(path)
     except AnalysisException:
         return None
-    return None if "question" not in rows.columns else rows
+    if "question" not in rows.columns:
+        return None
+    # file order decides between runs of one question; ids grow with it inside and between partitions
+    return rows if "pos" in rows.columns else rows.withColumn("pos", F.monotonically_increasing_id())
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row (status, data, caveats): status ok, not_found or error."""
-    caveats = F.array(*[F.lit(c) for c in RESULT_CAVEATS])
+def read_results(spark: SparkSession, path: str, caveats: tuple[str, ...] = ()) -> DataFrame:
+    """One row (status, data, caveats): status ok, not_found or error; ``caveats`` are the caller's."""
+    caveats = F.array(*[F.lit(c) for c in caveats]).cast("array<string>")
     try:
         text = spark.read.text(path, wholetext=True)
     except AnalysisException:

@@ -66,27 +66,36 @@ def test_pacing(spark):
     assert free.starts_at == int(free.ts.timestamp() * 1_000_000)
 
 
-def test_streaming_admission_and_answers(spark, tmp_path):
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_streaming_admission_equals_the_model(spark, tmp_path, batch):
+    """Files in no order, several micro-batches, any Arrow batch size: the same verdicts."""
     cfg = replace(Config(), hits_per_window=3)
-    rows = sorted(stream_of(5, 120, 4, 900), key=lambda r: (r[2], r[0]))
-    source = str(tmp_path / "in")
-    for part in (rows[:60], rows[60:]):  # two micro-batches in time order
-        spark.createDataFrame(part, "event_id long, client long, ts timestamp").coalesce(1).write.mode("append").parquet(source)
-    stream = (
-        spark.readStream.schema("event_id long, client long, ts timestamp")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(source)
-    )
-    admitted = admit_stream(stream, cfg)
-    query = (
-        admitted.writeStream.format("memory").queryName("admitted").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination(120)
+    rows = stream_of(5, 90, 4, 900)
+    late = [(1000 + c, c, START + timedelta(days=1)) for c in range(4)]  # moves the watermark past the rest
+    source, shape = str(tmp_path / "in"), "event_id long, client long, ts timestamp"
+    for part in (rows[:30], rows[30:60], rows[60:], late):
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        query = (
+            admit_stream(stream, cfg, "1000 seconds").writeStream.format("memory").queryName(f"admitted{batch}").outputMode("append")
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(300)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert query.exception() is None
-    got = {r.event_id: r.admitted for r in spark.table("admitted").collect()}
+    got = {r.event_id: r.admitted for r in spark.table(f"admitted{batch}").collect() if r.event_id < 1000}
     want = model(rows, replace(cfg, daily_cap=10**6))
     assert got == {i: v == limits.ADMITTED for i, v in want.items()}
+
+
+def test_streaming_answers(spark, tmp_path):
+    rows, shape = stream_of(5, 40, 4, 900), "event_id long, client long, ts timestamp"
+    spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
     answers = answer_stream(
         stream, lambda batch: batch.withColumn("answer", F.lit("ok")), str(tmp_path / "out"), str(tmp_path / "cp")
     )
