@@ -57,12 +57,13 @@ def mixed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns of the conversations; every other one in Devanagari script."""
-    turns = table(spark, sf_dir, "conversations").where("turn = 0")
+    """All turns of the conversations; those of every other one in Devanagari script."""
+    turns = table(spark, sf_dir, "conversations")
+    number = F.col("conv_id") * 1000 + F.col("turn")
     odd = F.pmod("conv_id", F.lit(2)) == 1
     return turns.select(
-        F.col("conv_id").alias("qid"),
-        F.col("conv_id").alias("pos"),
+        number.alias("qid"),
+        number.alias("pos"),
         F.when(odd, deva(F.col("text"))).otherwise(F.col("text")).alias("question"),
     )
 
@@ -82,6 +83,6 @@ SQL_MIXED_PASSAGES = (
     f"{sql.deva('text')} ELSE text END AS body FROM documents"
 )
 SQL_MIXED_QUESTIONS = (
-    f"SELECT conv_id AS qid, CASE WHEN conv_id % 2 = 1 THEN {sql.deva('text')} ELSE text END "
-    "AS question FROM conversations WHERE turn = 0"
+    f"SELECT conv_id * 1000 + turn AS qid, CASE WHEN conv_id % 2 = 1 THEN {sql.deva('text')} ELSE text END "
+    "AS question FROM conversations"
 )

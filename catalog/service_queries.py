@@ -21,7 +21,7 @@ LIMITS = replace(Config(), hits_per_window=2, window_seconds=43_200.0, daily_cap
 
 # ---- cache --------------------------------------------------------------------------------
 def _requests(spark, sf_dir):
-    turns = inputs.table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = inputs.table(spark, sf_dir, "conversations")
     message = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
     return turns.select("conv_id", "turn", F.array(message).alias("messages"))
 
@@ -115,7 +115,7 @@ def question_key_lookup(spark, sf_dir):
     asked = turns.select(
         "conv_id", "turn", F.concat(F.translate(F.replace("text", F.lit(" "), F.lit("  ")), sql.LETTERS, sql.LETTERS.upper()), F.lit(" ")).alias("question")
     )
-    recorded = turns.where("turn < 2").select(
+    recorded = turns.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("pos"),
         F.col("text").alias("question"),
         F.concat(F.lit("run "), F.col("conv_id"), F.lit("/"), F.col("turn")).alias("answer"),
@@ -191,7 +191,7 @@ def topic_triplets(spark, sf_dir):
 def dataset_distribution(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "lang")
     labels = inputs.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("answerable"))
-    counts = quality.distribution(docs.join(labels, "doc_id"))
+    counts = quality.distribution(docs.join(labels, "doc_id", "left"))
     return counts.withColumns(
         {"answerable": F.col("answerable").cast("string"), "level": F.col("level").cast("long")}
     )
@@ -231,7 +231,7 @@ def _key(provider: str, model: str) -> str:
 
 def _lookup(first: str, second: str, columns: str) -> str:
     # a repeated text is one request, cached if any turn with it was cached
-    turns = "(SELECT * FROM conversations WHERE role = 'user')"
+    turns = "conversations"
     offer = {
         "nvidia": f"(SELECT text, 'nvidia ' || max(turn % 2) || ' ' || md5(text) AS reply FROM {turns} WHERE conv_id % 3 = 0 GROUP BY text)",
         "openrouter": f"(SELECT text, 'openrouter ' || max(turn % 2) || ' ' || md5(text) AS reply FROM {turns} WHERE conv_id % 2 = 0 GROUP BY text)",
@@ -280,7 +280,7 @@ SELECT event_id, verdict FROM walk WHERE i > 0"""
 QUERIES = {
     "cache_key": (
         cache_key,
-        f"SELECT conv_id, turn, {_key('nvidia', 'model-a')} AS request_key FROM conversations WHERE role = 'user'",
+        f"SELECT conv_id, turn, {_key('nvidia', 'model-a')} AS request_key FROM conversations",
     ),
     "cache_lookup": (cache_lookup, _lookup("nvidia", "openrouter", "provider, reply")),
     "provider_fallback": (provider_fallback, _lookup("openrouter", "nvidia", "provider")),
@@ -304,7 +304,7 @@ QUERIES = {
         f"""WITH k AS (SELECT conv_id, turn, lower({sql.strip(f"regexp_replace(text, '{sql.SP}+', ' ', 'g')")}) AS key
                        FROM conversations),
             r AS (SELECT key, arg_min('run ' || conv_id || '/' || turn, conv_id * 100 + turn) AS recorded
-                  FROM k WHERE turn < 2 GROUP BY key)
+                  FROM k GROUP BY key)
             SELECT conv_id, turn, recorded FROM k LEFT JOIN r USING (key)""",
     ),
     "health": (
@@ -343,7 +343,7 @@ QUERIES = {
     "dataset_distribution": (
         dataset_distribution,
         """SELECT CAST(answerable AS VARCHAR) AS answerable, lang, count(*) AS n, GROUPING(answerable, lang) AS level
-           FROM (SELECT lang, quality = 1 AS answerable FROM documents JOIN labels USING (doc_id))
+           FROM (SELECT lang, quality = 1 AS answerable FROM documents LEFT JOIN labels USING (doc_id))
            GROUP BY CUBE (answerable, lang)""",
     ),
     "source_integrity": (

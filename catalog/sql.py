@@ -193,24 +193,22 @@ ranked AS MATERIALIZED (
 
 
 # ---- completions derived from passages (the same SQL text runs in both engines) ------------
-SENTENCE = (
-    "translate(regexp_extract({text}, '^[^.!?' || chr(10) || ']*', 0), "
-    "'\"' || chr(92) || chr(9) || chr(13), '    ')"
-)
+#: the whole text, without what JSON would have to escape
+PLAIN = "translate({text}, '\"' || chr(92) || chr(9) || chr(13) || chr(10), '     ')"
 
 
-def sentence(text: str) -> str:
-    return SENTENCE.format(text=text)
+def plain(text: str) -> str:
+    return PLAIN.format(text=text)
 
 
 def case_question(variant: str, text: str) -> str:
-    first = sentence(text)
+    first = plain(text)
     return f"CASE WHEN {variant} IN (7, 9) THEN {deva(first)} ELSE {first} || '?' END"
 
 
 def completion(variant: str, text: str, pid: str) -> str:
-    """Completion text: clean or with one of fifteen defects, about the first sentence."""
-    first = sentence(text)
+    """Completion text: clean or with one of fifteen defects, about the whole text."""
+    first = plain(text)
 
     def body(answer: str, sources: str, refuse: str = "false") -> str:
         return (
