@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import stage
 
 #: fixed values: language groups that make up each pool
 POOLS = {
@@ -71,8 +72,12 @@ def prepare(passages: DataFrame) -> DataFrame:
     because each byte here becomes about one feature row: merging small partitions by their size
     would leave the expansion to a few tasks.
     """
-    tasks = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return analyse(passages).repartition(tasks, "pos")
+    return placed(analyse(passages))
+
+
+def placed(analysed: DataFrame) -> DataFrame:
+    tasks = int(analysed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return analysed.repartition(tasks, "pos")
 
 
 def in_groups(passages: DataFrame, groups: list[str]) -> DataFrame:
@@ -142,9 +147,10 @@ class Index:
 
     @classmethod
     def build(cls, passages: DataFrame) -> Index:
-        prepared = prepare(passages)
-        entries = postings(prepared)
-        return cls(entries, document_frequency(entries), group_stats(analyse(passages)))
+        """Analyses the passages once: their postings and lengths are staged and shared by all uses."""
+        analysed = stage(analyse(passages), "analysed")
+        entries = stage(postings(placed(analysed)), "postings")
+        return cls(entries, stage(document_frequency(entries), "term-df"), stage(group_stats(analysed), "stats"))
 
     def save(self, path: str) -> None:
         """Write the tables. Range partitioning by term and passage splits frequent terms."""

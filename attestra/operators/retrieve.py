@@ -131,6 +131,8 @@ def rank(
     else:
         entries, term_df = index.postings, index.term_df
 
+    # only terms that some question has are expanded to pools and summed
+    term_df = term_df.join(hint(terms.select("term").distinct()), "term", "left_semi")
     pooled_df = ix.expand_pools(term_df).groupBy("pool", "term").agg(F.sum("df").alias("df"))
     n = _lookup(F.col("pool"), {k: F.lit(v[0]) for k, v in figures.items()}, F.lit(0))
     avgdl = _lookup(F.col("pool"), {k: F.lit(v[1]) for k, v in figures.items()}, F.lit(1.0))
