@@ -92,3 +92,20 @@ def model_listing(models: DataFrame, family: str, found: int = 10, other: int =
     chosen = matched.unionByName(rest)  # at most found + other rows
     any_match = F.bool_or("family").over(Window.partitionBy(F.lit(0)))
     return chosen.withColumn("any_match", any_match).where("family = any_match").drop("any_match")
+
+
+def select_by_ids(questions: DataFrame, ids: DataFrame) -> DataFrame:
+    """Questions of an id list (qid, ord) in list order; ``found`` is false for ids that no question has.
+
+    Each id is listed once per row of ``ids``; a question that occurs several times is taken by its first ``pos``.
+    """
+    columns = [c for c in questions.columns if c != "qid"]
+    wanted = questions.join(ids.select("qid").distinct(), "qid", "left_semi")
+    first = wanted.groupBy("qid").agg(F.min_by(F.struct(*columns), "pos").alias("row"))
+    joined = ids.join(first, "qid", "left")
+    return joined.select("qid", "ord", F.col("row").isNotNull().alias("found"), *[F.col("row")[c].alias(c) for c in columns])
+
+
+def active_providers(providers: DataFrame) -> DataFrame:
+    """Known providers with an API key, in configured order (name, ord, known, api_key)."""
+    return providers.where(F.col("known") & (F.coalesce(F.length("api_key"), F.lit(0)) > 0)).select("name", "ord")
