@@ -14,6 +14,7 @@ from .common import BLANKS, clear_of, stage, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("base", "symbols", "lines", "word_length")
+ADDED = (*MEASURES, "n_lines", "base_failed", "host_failed", "host_key", "kept", *(f"fails_{r}" for r in RULES))
 
 
 @dataclass(frozen=True)
@@ -147,8 +148,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", rules: Host
     Null text: no words, fails base. Null host: a host of its own. Repeated rows are judged like any
     other and count as often as they occur. No rows: no rows.
     """
-    added = {*MEASURES, "n_lines", "base_failed", "host_failed", "kept", *(f"fails_{r}" for r in RULES)} - {host, text}
-    docs = docs.drop(*[c for c in docs.columns if c in added])
+    docs = docs.drop(*[c for c in docs.columns if c in ADDED and c not in (host, text)])
     judged = measure(docs, text).withColumns({f"fails_{r}": c for r, c in failures(rules).items()})
     judged = stage(judged, "judged")
     hosts = host_rates(judged, host, rules).select("host_key", "host_failed")
@@ -160,5 +160,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", rules: Host
 
 
 def keep_documents(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``."""
-    return judge(docs, rules=rules).where("kept").select(*docs.columns)
+    """The documents that pass, with the columns of ``docs``, whatever their names."""
+    names = docs.columns
+    own = {c: clear_of(f"{c}_own", names) for c in names if c in ADDED}
+    kept = judge(docs.withColumnsRenamed(own), rules=rules).where("kept")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in names])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, fold, slices, stage
+from .common import fold, slices, stage
 
 #: Stripped from the ends of a word.
 EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’…*#$%&|/\\-–—_=+~^`@0123456789"
@@ -179,10 +179,19 @@ class _Predict:
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``carry``, ``lang_pred`` and ``score`` for every row of ``docs``, from its whole text.
 
-    ``und`` with score 0 if the text is null or has no letter, or if the model knows no language.
+    ``und`` with score 0 if the text is null or has no letter, or if the model knows no language. Carried
+    columns of the two names are left out.
     """
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias(clear_of("text_", list(carry))))
-    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "lang_pred string, score double"])
+    carry = tuple(c for c in carry if c not in ("lang_pred", "score"))
+    return _predicted(docs, model, text, carry).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score"
+    )
+
+
+def _predicted(docs: DataFrame, model: Model, text: str, carry: tuple[str, ...]) -> DataFrame:
+    """Carried columns as c0, c1, ... and the prediction, so that no names clash."""
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("text"))
+    shape = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "lang_pred string, score double"])
     return rows.mapInArrow(_Predict(docs.sparkSession.sparkContext.broadcast(model)), shape)
 
 
@@ -201,7 +210,6 @@ def identify_documents(docs: DataFrame, how: Training = Training()) -> DataFrame
 def keep_identified(docs: DataFrame, least: float = 0.5, how: Training = Training()) -> DataFrame:
     """Documents whose language is told with a score of ``least`` or more, with the columns of ``docs``."""
     model = train(docs.where(fold("doc_id", 5) != 0), how=how)
-    names = docs.columns
-    text = clear_of("copy_", names)
-    found = identify(docs.withColumn(text, F.col("text")), model, text=text, carry=tuple(names))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    names = tuple(docs.columns)
+    found = _predicted(docs, model, "text", names).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

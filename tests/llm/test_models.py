@@ -44,8 +44,9 @@ def test_language_edges(spark, tricky, nothing, corpus):
     unlabelled = corpus.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in lg.identify_documents(unlabelled).collect()} == {("und", 0.0)}
     clash = tricky.withColumn("copy_", F.lit(1)).withColumn("lang_pred", F.lit("x"))
-    with pytest.raises(Exception):
-        lg.identify(clash, lg.Model([], [{}], np.zeros((0, 0))), carry=("lang_pred",)).select("lang_pred").collect()
+    found = lg.identify(clash, lg.Model([], [{}], np.zeros((0, 0))), carry=("lang_pred", "copy_"))
+    assert found.columns == ["copy_", "lang_pred", "score"] and {r.lang_pred for r in found.collect()} == {"und"}
+    assert lg.keep_identified(clash.union(clash)).columns == clash.columns
     kept = lg.keep_identified(corpus)
     assert kept.columns == corpus.columns and kept.count() == 340
 

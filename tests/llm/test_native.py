@@ -55,6 +55,8 @@ def test_clashing_names_and_empty(spark, nothing, tricky):
     clash = tricky.withColumn("n_words", F.lit("x")).withColumn("words_", F.lit(1)).withColumn("kept", F.lit(None))
     assert [f.dataType.simpleString() for f in judge(clash).schema if f.name == "n_words"] == ["bigint"]
     assert judge(clash).count() == tricky.count()
+    kept = keep_documents(clash)
+    assert kept.columns == clash.columns and {r.n_words for r in kept.collect()} == {"x"}
 
 
 def test_running_sums(spark):
