@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +28,38 @@ def staging_dir(spark: SparkSession) -> str:
     return folder
 
 
+_open = threading.local()
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged by this thread inside the block are deleted at its end.
+
+    For work whose result is written inside the block, such as a micro-batch or a stage of a pipeline.
+    """
+    outer, own = getattr(_open, "paths", None), []
+    _open.paths = own
+    try:
+        yield
+    finally:
+        _open.paths = outer
+        for path in own:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the staging folder and read it back.
 
     Lineage ends at the written files, so a lost executor re-reads them instead of repeating
-    the work (or a remote call) above. Callers own the clean-up of the staging folder.
+    the work (or a remote call) above. Inside a ``staging_scope`` the table goes at its end; otherwise
+    callers own the clean-up of the staging folder.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

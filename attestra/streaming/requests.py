@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..config import Config
 from ..operators.limits import micros
+from ..session import staging_scope
 
 ADMISSION = "client string, event_id long, at long, admitted boolean"
 
@@ -102,11 +103,13 @@ def answer_stream(
 ) -> StreamingQuery:
     """Answer each micro-batch with ``answer`` and append the result as Parquet under ``output``.
 
-    A batch writes its own folder, overwritten when the batch is repeated after a failure.
+    A batch writes its own folder, overwritten when the batch is repeated after a failure. What it staged
+    meanwhile is deleted after that.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        answer(batch).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        with staging_scope(batch.sparkSession):
+            answer(batch).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(run)

@@ -1,5 +1,6 @@
 """Admission and pacing against step-by-step models, in batch and as a stream."""
 
+import os
 import random
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestra.config import Config
 from attestra.operators import limits
+from attestra.session import stage
 from attestra.streaming.requests import admit_stream, answer_stream
 
 START = datetime(2024, 1, 1, 23, 30, tzinfo=timezone.utc)
@@ -96,8 +98,14 @@ def test_streaming_answers(spark, tmp_path):
     rows, shape = stream_of(5, 40, 4, 900), "event_id long, client long, ts timestamp"
     spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
-    answers = answer_stream(
-        stream, lambda batch: batch.withColumn("answer", F.lit("ok")), str(tmp_path / "out"), str(tmp_path / "cp")
-    )
+    paths = []
+
+    def answer(batch):
+        staged = stage(batch.withColumn("answer", F.lit("ok")), "answers")
+        paths.extend(staged.inputFiles())
+        return staged
+
+    answers = answer_stream(stream, answer, str(tmp_path / "out"), str(tmp_path / "cp"))
     answers.awaitTermination(120)
+    assert paths and not any(os.path.exists(p.removeprefix("file://")) for p in paths)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
