@@ -10,6 +10,7 @@ from attestra.llm.decontaminate import drop_contaminated
 from attestra.llm.host_rules import keep_documents
 from attestra.llm.language import keep_identified
 from attestra.llm.simhash import drop_near_duplicates
+from attestra.session import staging_scope
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, step in STAGES:
         path = shared_path(spark, name.replace(" ", "-"))
-        step(spark, docs, sf_dir).write.parquet(path)
+        with staging_scope(spark):  # what a stage staged goes once its result is written
+            step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
