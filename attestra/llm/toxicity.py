@@ -221,27 +221,38 @@ class _Measure:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", how: Classes = Classes()) -> Model | Constant:
     """Learns both models from a sample of the rows with a label of 0 or 1; a document with both labels counts as toxic."""
     own = labels.where(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(toxic).cast("int").alias("toxic"))
-    rows = docs.join(own, docs[doc_id] == own["id"]).select("toxic", F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64("id").alias("h"))
-    sizes = {r["toxic"]: r["chars"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    lengths = docs.select(F.col(doc_id).alias("doc"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("chars"))
+    slim = lengths.join(own, F.col("doc") == F.col("id")).select("id", "toxic", "chars", F.xxhash64("id").alias("h"))
+    slim = stage(slim, "labelled")
+    sizes = {r["toxic"]: r["chars"] for r in slim.groupBy("toxic").agg(F.sum("chars").alias("chars")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Constant(1.0 if sizes.get(1) else 0.0)
-    most = min(how.sample_chars, sizes[0], sizes[1])
+    most, n = min(how.sample_chars, sizes[0], sizes[1]), F.lit(1_000_003)
     part = F.when(F.col("toxic") == 1, most / sizes[1]).otherwise(most / sizes[0])
-    drawn = stage(rows.where(F.pmod("h", F.lit(1_000_003)) < part * 1_000_003), "labelled")
-    aside = F.pmod(F.shiftright("h", 24), F.lit(8)) == 0
-    counted = drawn.where(~aside).select("toxic", "text").mapInArrow(_Pairs(), "toxic int, before string, word string, n long")
+    # the ordinary class is thinned to the size of the toxic one, but calibrated on up to eight times as many
+    wide = F.when(F.col("toxic") == 1, part).otherwise(8 * part)
+    flagged = slim.select(
+        "id",
+        "toxic",
+        (F.pmod("h", n) < part * n).alias("drawn"),
+        (F.pmod(F.shiftright("h", 24), F.lit(8)) == 0).alias("aside"),
+        (F.pmod(F.shiftright("h", 8), n) < wide * n).alias("wide"),
+    )
+    chosen = flagged.where("drawn OR aside AND wide").distinct()
+    # texts are read once more and meet the chosen ids only
+    texts = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    used = stage(texts.join(chosen, F.col("doc") == F.col("id")).select("toxic", "drawn", "aside", "wide", "text"), "drawn")
+    counted = used.where("drawn AND NOT aside").select("toxic", "text").mapInArrow(_Pairs(), "toxic int, before string, word string, n long")
     n = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
     counts = stage(counted.groupBy("before", "word").agg(*n), "counts")
     if not all(counts.agg(F.sum("n0"), F.sum("n1")).first()):
         return Constant(0.0)
     model = kneser_ney(counts, how)
-    context = docs.sparkSession.sparkContext
-    # the ordinary class was thinned to the size of the toxic one, so it is calibrated on unthinned rows
-    share = most / sizes[0]
-    test = rows.where(aside & ((F.col("toxic") == 1) | (F.pmod(F.shiftright("h", 8), F.lit(1_000_003)) < min(1.0, 8 * share) * 1_000_003)))
-    found = test.select("toxic", "text").mapInArrow(_Measure(context.broadcast(model), False), "toxic int, d double, n long").toPandas()
-    if found["toxic"].nunique() < 2:
-        found = drawn.select("toxic", "text").mapInArrow(_Measure(context.broadcast(model), False), "toxic int, d double, n long").toPandas()
+    measure = _Measure(docs.sparkSession.sparkContext.broadcast(model), False)
+    for test in (used.where("aside AND wide"), used.where("drawn")):  # all that was drawn, if too few lie aside
+        found = test.select("toxic", "text").mapInArrow(measure, "toxic int, d double, n long").toPandas()
+        if found["toxic"].nunique() == 2:
+            break
     model.calibrate(list(zip(found["d"], found["n"])), found["toxic"].to_numpy(float))
     return model
 
