@@ -76,6 +76,14 @@ def raw_stage(completed: DataFrame) -> DataFrame:
     read = completed.withColumn("_raw_text", F.col("completion")["text"]).withColumn(
         "_raw_data", ct.parse_object(F.col("_raw_text"))
     )
+    kind = ct.field_kind(data, "sources")
+    listed = F.rlike(kind, F.lit("^(ARRAY|OBJECT|STRING)"))
+    # sources that can't be read as a list at all end the record, as a failed call does
+    unread = F.when(
+        ~F.coalesce(listed, F.lit(True)) & ~ct.truthy(data, "refuse"),
+        F.concat(F.lit("sources: "), ct.type_name(kind), F.lit(" is not a list")),
+    )
+    read = read.withColumn("error", F.coalesce("error", unread))
     unusable = data.isNull() | (data.cast("string") == "{}")
     outcome = (
         F.when(~F.col("wanted"), F.lit("refused"))

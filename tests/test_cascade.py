@@ -282,6 +282,20 @@ def test_benchmark_and_reports(spark, pack, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "details")).count() == 6
 
 
+def test_sources_that_are_no_list(spark, pack):
+    def transport(url, payload, key, timeout):
+        given = {"one": None, "two": 7, "three": ["DOC_EN_01"]}[payload["messages"][1]["content"].split()[-1]]
+        text = json.dumps({"answer": GOOD, "sources": given, "refuse": False})
+        return 200, {"choices": [{"finish_reason": "stop", "message": {"content": text}}]}, None, 0.25
+
+    questions = spark.createDataFrame(
+        [(i, f"{Q} {w}", "en", True) for i, w in enumerate(("one", "two", "three"))], "qid long, question string, lang string, answerable boolean"
+    )
+    records = {r.id: r for r in run_benchmark(questions, pack, remote(transport), FAST, setups=("raw",)).records.collect()}
+    assert [records[i].outcome for i in range(3)] == ["error", "error", "passed"]
+    assert records[0].error_details == "sources: NoneType is not a list" and records[1].model_calls == 0
+
+
 def test_recorded_runs(spark, pack, tmp_path):
     questions = asked(spark, Q).withColumn("lang", F.lit("en"))
     answered = ask(questions, pack, remote(lambda *a: reply(GOOD)), FAST)
