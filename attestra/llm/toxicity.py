@@ -20,8 +20,10 @@ START, OTHER, PREFIX = "\n", "\t", "\v"
 
 @dataclass(frozen=True)
 class Classes:
-    """``sample_chars``: per class, labelled texts are sampled by id hash to about so many characters; both
-    classes get the same, the smaller class's size if that is less, so that chance finds favour neither.
+    """``sample_chars``, ``sample_rows``: per class, labelled texts are sampled by id hash to about so many
+    characters and rows at most; both classes get as many characters, the smaller class's if that is less,
+    so that chance finds favour neither. For calibration up to eight times as many ordinary rows count.
+    So no more than about 3 ``sample_rows`` ids are ever chosen, and these are broadcast.
     Every eighth of them (by id) is kept for calibration.
 
     ``min_count``: a word with fewer continuations in both classes together backs off to its longest prefix
@@ -32,6 +34,7 @@ class Classes:
     """
 
     sample_chars: int = 20_000_000
+    sample_rows: int = 50_000
     min_count: int = 12
     min_prefix: int = 4
     discount: float = 0.75
@@ -224,13 +227,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     lengths = docs.select(F.col(doc_id).alias("doc"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("chars"))
     slim = lengths.join(own, F.col("doc") == F.col("id")).select("id", "toxic", "chars", F.xxhash64("id").alias("h"))
     slim = stage(slim, "labelled")
-    sizes = {r["toxic"]: r["chars"] for r in slim.groupBy("toxic").agg(F.sum("chars").alias("chars")).collect()}
+    counted = slim.groupBy("toxic").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("rows")).collect()
+    sizes, rows = {r["toxic"]: r["chars"] for r in counted}, {r["toxic"]: r["rows"] for r in counted}
     if not sizes.get(0) or not sizes.get(1):
         return Constant(1.0 if sizes.get(1) else 0.0)
     most, n = min(how.sample_chars, sizes[0], sizes[1]), F.lit(1_000_003)
-    part = F.when(F.col("toxic") == 1, most / sizes[1]).otherwise(most / sizes[0])
-    # the ordinary class is thinned to the size of the toxic one, but calibrated on up to eight times as many
-    wide = F.when(F.col("toxic") == 1, part).otherwise(8 * part)
+    share = {c: min(most / sizes[c], how.sample_rows / rows[c]) for c in (0, 1)}
+    part = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    wide = F.when(F.col("toxic") == 1, share[1]).otherwise(8 * share[0])
     flagged = slim.select(
         "id",
         "toxic",
@@ -239,9 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         (F.pmod(F.shiftright("h", 8), n) < wide * n).alias("wide"),
     )
     chosen = flagged.where("drawn OR aside AND wide").distinct()
-    # texts are read once more and meet the chosen ids only
+    # texts are read once more and meet the chosen ids, which are few, without a shuffle
     texts = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    used = stage(texts.join(chosen, F.col("doc") == F.col("id")).select("toxic", "drawn", "aside", "wide", "text"), "drawn")
+    used = stage(texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("toxic", "drawn", "aside", "wide", "text"), "drawn")
     counted = used.where("drawn AND NOT aside").select("toxic", "text").mapInArrow(_Pairs(), "toxic int, before string, word string, n long")
     n = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
     counts = stage(counted.groupBy("before", "word").agg(*n), "counts")
