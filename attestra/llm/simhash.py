@@ -70,13 +70,16 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(x) for x in lists], np.int64)
         flat = np.fromiter((h for x in lists for h in x), np.uint64, int(sizes.sum()))
         prints = majority(flat, sizes).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["id", "fp"])
+        carried = zip(batch.schema.names[2:], batch.columns[2:])
+        names, columns = zip(("id", batch.column(0)), ("fp", pa.array(prints)), *carried)
+        yield pa.RecordBatch.from_arrays(list(columns), names=list(names))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp) per document; fp is the fingerprint as a signed long. Null text counts as empty."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprint, f"id {kind}, fp long")
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, fp) per document, then longs ``carry``; fp is the fingerprint as a signed long. Null text counts as empty."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *carry)
+    shape = ", ".join([f"id {docs.schema[doc_id].dataType.simpleString()}", "fp long", *[f"{c} long" for c in rows.columns[2:]]])
+    return rows.mapInArrow(_fingerprint, shape)
 
 
 def embedding(fp: Column) -> Column:
@@ -205,24 +208,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows: no rows.
     """
     marked = stage(fingerprints(docs, doc_id, text), "prints")
+    return marked.join(classes(marked, radius), "fp").select(
+        F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def classes(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of all fingerprints of ``marked`` (id, fp): the smallest fingerprint and id of their group."""
     prints = stage(marked.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     roots = components(near_links(prints, radius)).select(F.col("node").alias("fp"), "root")
     prints = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     prints = stage(prints, "rooted")
     least = prints.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = prints.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
-        F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints.join(least, "root").select("fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, unique_ids: bool = True) -> DataFrame:
     """The document with the smallest id of each group, with all columns; repeated rows of it stay once.
 
-    Rows with a null id stay only where their whole group has none.
+    Rows with a null id stay only where their whole group has none, one of each such group. Of several rows
+    with the smallest id of a group the one whose hash is least stays. With ``unique_ids`` an id stays once
+    in all, even if its rows are in different groups; without, each group keeps its row. Rows are told
+    apart by two 64-bit hashes of all their columns and of which of them are null.
     """
-    found = near_duplicates(docs, doc_id, text, radius)
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("kept_id")).distinct()
-    name = clear_of("kept_id", docs.columns)
-    kept = kept.withColumnRenamed("kept_id", name)
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept[name]), "left_semi").dropDuplicates([doc_id])
+    names = docs.columns
+    keys = [clear_of("row_a_", names), clear_of("row_b_", names)]
+    marks = [F.xxhash64(F.lit(i), *[F.col(c).isNull() for c in names], *names) for i in range(2)]
+    marked = stage(fingerprints(docs, doc_id, text, (marks[0].alias("a"), marks[1].alias("b"))), "prints")
+    grouped = marked.join(classes(marked, radius), "fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")).alias("row")
+    kept = grouped.groupBy("root").agg(first).select("row.*")
+    if unique_ids:
+        own = [F.when(F.col("none"), F.col(c)) for c in ("a", "b")]
+        kept = kept.groupBy("id", *own).agg(F.min(F.struct("a", "b")).alias("row")).select("row.*")
+    kept = kept.select(F.col("a").alias(keys[0]), F.col("b").alias(keys[1]))
+    return docs.withColumns(dict(zip(keys, marks))).join(kept, keys, "left_semi").dropDuplicates(keys).select(*names)

@@ -24,8 +24,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return drop_near_duplicates(docs)
+    """The document with the smallest id of each group of near copies; ids may be null or repeated."""
+    return drop_near_duplicates(docs, unique_ids=False)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,22 @@ def test_one_of_each_group_stays(tricky, corpus):
     assert len(ids) == len(set(ids)) and {1, 4, 7} <= set(ids)
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Null and repeated ids: each group keeps a row, and no group takes another's."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    rows = [(None, "a", "x"), (None, "b", "x"), (None, "b", "y"), (None, "c", "x"), (1, "c", "x"), (1, "d", None), (1, "d", None), (2, "e", None), (None, "f", None), (3, "g", "x"), (3, "g", "y")]
+    docs = spark.createDataFrame([(i, texts[k], n) for i, k, n in rows], "doc_id long, text string, note string")
+    name = {t: k for k, t in texts.items()}
+    kept = sh.drop_near_duplicates(docs, unique_ids=False)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, name[r.text]) for r in kept.collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, [(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e"), (None, "f"), (3, "g")]))
+    once = [(r.doc_id, name[r.text]) for r in sh.drop_near_duplicates(docs).collect()]
+    assert {t for i, t in once if i is None} == {"a", "b", "f"} and sorted(i for i, _ in once if i) == [1, 2, 3]
+    alike = spark.createDataFrame([(None, None, "x"), (None, "x", None)], docs.schema)  # nulls count by where they are
+    assert sh.drop_near_duplicates(alike, unique_ids=False).count() == 2
+
+
 def passages(rng, n, words):
     return [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(words))) for i in range(n)]
 
