@@ -31,20 +31,14 @@ def _turns(rows: DataFrame, side: int, pair: str) -> DataFrame:
 def first_difference(turns: DataFrame) -> DataFrame:
     """(pair_id, cut): the first turn at which the sides differ in role, text or number of rows; null if none does.
 
-    Turns are compared by (pair, turn), so that a long conversation is spread over tasks; texts meet as hashes.
+    Turns are compared as multisets: each (role, text) of a turn must be there as often on either side. Rows are
+    counted by (pair, turn, role, text), so that a long conversation, or a long turn, is spread over tasks; texts
+    meet as two 64-bit hashes.
     """
-    h = F.xxhash64("role", "text")
-    own, other = F.col("side") == 0, F.col("side") == 1
-    # sums and extremes of hashes tell apart rows of one turn that come in any order
-    seen = turns.select("pair_id", "turn", "side", h.alias("h")).groupBy("pair_id", "turn").agg(
-        *[
-            f(F.when(side, value)).alias(f"{name}{i}")
-            for i, side in enumerate((own, other))
-            for name, f, value in (("n", F.count, F.col("h")), ("lo", F.min, F.col("h")), ("hi", F.max, F.col("h")))
-        ]
-    )
-    same = (F.col("n0") == F.col("n1")) & (F.col("lo0") == F.col("lo1")) & (F.col("hi0") == F.col("hi1"))
-    return seen.groupBy("pair_id").agg(F.min(F.when(~F.coalesce(same, F.lit(False)), F.col("turn"))).alias("cut"))
+    marks = [F.xxhash64(F.lit(i), "text").alias(f"h{i}") for i in range(2)]
+    more = F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("more")
+    seen = turns.select("pair_id", "turn", "side", "role", *marks).groupBy("pair_id", "turn", "role", "h0", "h1").agg(more)
+    return seen.groupBy("pair_id").agg(F.min(F.when(F.col("more") != 0, F.col("turn"))).alias("cut"))
 
 
 def preference_segments(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", template: Template = Template()) -> DataFrame:

@@ -109,6 +109,23 @@ def test_segments(spark):
     assert preference_segments(*[f.where("false") for f in frames]).count() == 0
 
 
+def test_turns_of_many_rows(spark):
+    """Each row of a turn counts, in whatever order they come, also where turns and pairs are null."""
+    rng, chosen, rejected = random.Random(8), [], []
+    for p in range(60):
+        turn = (p, 0, None)[p % 3]
+        rows = [(p if p else None, turn, "user", f"text {rng.randrange(50)}") for _ in range(3 + p % 7)]
+        other = rng.sample(rows, len(rows))
+        if p % 4:
+            other[0] = (*other[0][:3], f"changed {p}")
+        elif p % 8:
+            other[0] = other[1]  # as many rows, other numbers of each
+        chosen += rows
+        rejected += other
+    got = preference_segments(spark.createDataFrame(chosen, TURNS), spark.createDataFrame(rejected, TURNS)).collect()
+    assert sorted(map(repr, map(tuple, got))) == brute_segments(chosen, rejected)
+
+
 def test_replies_match_sql(spark):
     import duckdb
 
