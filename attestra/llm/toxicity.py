@@ -26,11 +26,11 @@ class Classes:
     So no more than about 3 ``sample_rows`` ids are ever chosen, and these are broadcast.
     Every eighth of them (by id) is kept for calibration.
 
-    ``min_count``: a word with fewer continuations in both classes together backs off to its longest prefix
+    ``min_count``: a word with fewer occurrences in both classes together backs off to its longest prefix
     of at least ``min_prefix`` characters that has as many, else to what all rare words share; word pairs need
     as many occurrences. ``discount``: absolute discount. ``min_z``: where the counts of the classes differ by
-    less than so many standard deviations, both take the shared counts, so that the many words of a long
-    text that say nothing add no noise to its comparison.
+    so many standard deviations (twice as many for pairs), half of the difference counts (for words, of their log ratio); of smaller ones
+    less, of larger ones more, so that the many words of a long text that say nothing add little noise.
     """
 
     sample_chars: int = 20_000_000
@@ -149,22 +149,22 @@ class Constant:
 def kneser_ney(counts: DataFrame, how: Classes) -> Model:
     """Both models from pair counts (before, word, n0, n1).
 
-    A symbol is a word, the prefix of rare words, or ``OTHER``; its counts are continuations, kinds of
+    A symbol is a word with enough occurrences, after however few words, the prefix of rare words, or ``OTHER``; its counts are continuations, kinds of
     words before it by class. Class counts are discounted; what that leaves goes to the counts of both
     classes together, and theirs to a uniform share. How words of one prefix share its probability is
     the same in both classes, so it takes no part in the comparison.
     """
     n0, n1 = F.col("n0"), F.col("n1")
     on = [F.sum((n > 0).cast("long")).alias(k) for n, k in ((n0, "k0"), (n1, "k1"))]
-    by_word = stage(counts.groupBy("word").agg(*on), "words")
+    by_word = stage(counts.groupBy("word").agg(*on, F.sum(n0 + n1).alias("n")), "words")
     prefixes = F.transform(
         F.sequence(F.lit(how.min_prefix), F.greatest(F.length("word") - 1, F.lit(how.min_prefix))),
         lambda i: F.concat(F.lit(PREFIX), F.substring("word", F.lit(1), i)),
     )
-    rare = by_word.where((F.col("k0") + F.col("k1") < how.min_count) & (F.length("word") > how.min_prefix))
-    by_prefix = rare.select(F.explode(prefixes).alias("word"), "k0", "k1").groupBy("word").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
+    rare = by_word.where((F.col("n") < how.min_count) & (F.length("word") > how.min_prefix))
+    by_prefix = rare.select(F.explode(prefixes).alias("word"), "k0", "k1", "n").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("k0", "k1", "n")])
     total = by_word.agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1")).first()
-    table = by_word.union(by_prefix).where(F.col("k0") + F.col("k1") >= how.min_count).orderBy("word").toPandas()
+    table = by_word.union(by_prefix).where(F.col("n") >= how.min_count).orderBy("word").toPandas()
     vocabulary = {OTHER: 0, START: 1} | {w: i + 2 for i, w in enumerate(table["word"])}
     size, d = len(vocabulary), how.discount
     k = np.zeros((size, 2))
@@ -175,9 +175,9 @@ def kneser_ney(counts: DataFrame, how: Classes) -> Model:
     unigram = np.empty((2, size))
     for c in (0, 1):
         unigram[c] = np.maximum(k[:, c] - d, 0) / totals[c] + d * (k[:, c] > 0).sum() / totals[c] * shared
-    apart = differ(k, totals, how.min_z)
-    apart[:2] = False
-    unigram[:, ~apart] = unigram[:, ~apart].mean(axis=0)
+    apart = trust(k, totals, how.min_z)
+    apart[:2] = 0
+    unigram = unigram**apart * unigram.mean(axis=0) ** (1 - apart)
     by_before = counts.groupBy(F.col("before").alias("word")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     by_before = by_before.where(n0 + n1 >= how.min_count).toPandas()
     contexts = np.zeros((2, size))
@@ -186,23 +186,28 @@ def kneser_ney(counts: DataFrame, how: Classes) -> Model:
     pairs = counts.where(n0 + n1 >= how.min_count).toPandas()
     sizes = np.maximum(np.array(counts.agg(F.sum("n0"), F.sum("n1")).first()[:], float), 1)
     pairs = pairs[pairs["word"].isin(vocabulary) & pairs["before"].isin(vocabulary)]
-    pairs = pairs[differ(pairs[["n0", "n1"]].to_numpy(float), sizes, 2 * how.min_z)]
     before, word = pairs["before"].map(vocabulary).to_numpy(np.int64), pairs["word"].map(vocabulary).to_numpy(np.int64)
     order = np.argsort(before * size + word)
     before, word = before[order], word[order]
-    kept, backoff = np.zeros((2, len(order))), np.ones((2, size))
+    n = pairs[["n0", "n1"]].to_numpy(float)[order]
+    kept, backoff = np.maximum(n.T - d, 0) / np.maximum(contexts[:, before], 1), np.ones((2, size))
+    most = np.max([np.bincount(before, kept[c], size) for c in (0, 1)], axis=0)
+    # a pair that says little beyond its word has the classes' ratio of the word
+    apart = trust(n, sizes, 2 * how.min_z)
+    kept = apart * kept + (1 - apart) * kept.mean(axis=0) * unigram[:, word] / unigram[:, word].mean(axis=0)
     for c in (0, 1):
-        n = pairs[f"n{c}"].to_numpy(float)[order]
-        kept[c] = np.maximum(n - d, 0) / np.maximum(contexts[c, before], 1)
+        mass = np.bincount(before, kept[c], size)
+        kept[c] *= np.minimum(most / np.maximum(mass, 1e-12), 1)[before]
         backoff[c] -= np.bincount(before, kept[c], size)
     return Model(vocabulary, unigram, np.maximum(backoff, 1e-6), before * size + word, kept, how.min_prefix)
 
 
-def differ(counts: np.ndarray, totals: np.ndarray, z: float) -> np.ndarray:
-    """True where the rates of two classes (rows of counts) are more than ``z`` standard deviations apart."""
+def trust(counts: np.ndarray, totals: np.ndarray, z: float) -> np.ndarray:
+    """0 to 1: how far the rates of two classes (rows of counts) are told apart, a half at ``z`` standard deviations."""
     rates = counts / totals
-    spread = np.sqrt(counts.sum(axis=1) / totals.sum() * (1 / totals).sum())
-    return np.abs(rates[:, 1] - rates[:, 0]) > z * spread
+    variance = counts.sum(axis=1) / totals.sum() * (1 / totals).sum()
+    fourth, half = (rates[:, 1] - rates[:, 0]) ** 4, (z * z * variance) ** 2
+    return fourth / np.maximum(fourth + half, 1e-300)
 
 
 class _Measure:

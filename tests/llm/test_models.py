@@ -98,6 +98,17 @@ def test_kneser_ney_probabilities(spark):
     assert model.measures("toxic toxic")[0] > 1 and model.measures(None) == (0.0, 0)
 
 
+def test_fixed_expressions_count(spark):
+    """A word that always follows the same word has one kind of continuation, however often it occurs; its pair counts."""
+    rows = [(f"h{i % 40}", f"w{i}", 20, 20) for i in range(400)] + [("foul", "phrase", 0, 900), ("h1", "foul", 0, 900), ("mild", "hint", 20, 60), ("h2", "mild", 40, 60)]
+    model = tx.kneser_ney(spark.createDataFrame(rows, "before string, word string, n0 long, n1 long"), tx.Classes())
+    v = model.vocabulary
+    assert {"foul", "phrase", "mild", "hint"} <= set(v)
+    assert {v["foul"] * len(v) + v["phrase"], v["mild"] * len(v) + v["hint"]} <= set(model.pairs.tolist())
+    assert model.measures("foul phrase")[0] > 1 and model.measures("mild hint")[0] > 0
+    assert (model.backoff > 0).all() and (model.backoff <= 1).all()
+
+
 def brute_base(rows):
     counts = Counter()
     for i, text in rows:
