@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, words_of
+from .filter_game import audit_filters
 from .periodic_runs import detect_runs
 
 
@@ -51,6 +52,49 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def filter_game(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+_GAME_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+lists AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
+    + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(lists.doc_id > first, false) AS INT) AS mask
+  FROM lists LEFT JOIN known ON lists.doc_id = known.doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS t FROM failed GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(name, bit)),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+  SELECT filter_order, s AS step, bits[s] AS bit, CAST(coalesce(list_sum(bits[1:s - 1]), 0) AS INT) AS before
+  FROM orders, range(1, 6) AS r(s)),
+audited AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (WHERE mask & (before + bit) = 0) AS kept,
+    sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0) AS redundant,
+    sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+    sum(g) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS good_lost,
+    sum(t) FILTER (WHERE mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+FROM audited
+"""
+
 QUERIES = {
+    "op12_filter_game": (filter_game, _GAME_SQL),
     "op13_periodic_runs": (periodic_runs, None),
 }
