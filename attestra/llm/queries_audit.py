@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, words_of
+from .common import read_table, shared_path, words_of
 from .filter_game import audit_filters
 from .periodic_runs import detect_runs
+from .stream_dedup import StreamDedup, deduplicate
 
 
 def _planted(docs: DataFrame) -> DataFrame:
@@ -52,6 +53,18 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(spark, StreamDedup(f"{sf_dir}/documents.parquet", shared_path(spark, "dedup")))
+
+
+_DEDUP_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM texts WINDOW w AS (PARTITION BY t)
+"""
+
+
 def filter_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -95,6 +108,7 @@ FROM audited
 """
 
 QUERIES = {
+    "op11_stream_dedup": (stream_dedup, _DEDUP_SQL),
     "op12_filter_game": (filter_game, _GAME_SQL),
     "op13_periodic_runs": (periodic_runs, None),
 }
