@@ -1,4 +1,4 @@
-"""Host-level quality rules: documents are judged by their own rules and by their host's shrunk failure rates.
+"""Host-level quality rules: documents are judged by the base rule and by their host's shrunk failure rates.
 
 DataFrame functions only: nothing of this runs in Python on the executors.
 """
@@ -24,7 +24,7 @@ class HostRules:
     base: fewer than ``min_words`` words, or over half of the words in repeated three-word windows.
     symbols: more than ``max_symbols`` symbols a word. lines: more than ``max_dup_lines`` of the lines
     repeat an earlier one. word_length: the mean length is outside the two bounds.
-    ``max_host_rate``: a host fails where one rule's shrunk failure rate is above it.
+    ``max_host_rate``: a host fails where one rule's shrunk failure rate is above it by ``margin`` deviations.
     """
 
     min_words: int = 50
@@ -35,6 +35,7 @@ class HostRules:
     max_word_length: float = 10.0
     max_host_rate: float = 0.5
     max_prior_weight: float = 1e6
+    margin: float = 2.0
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -112,6 +113,8 @@ def host_rates(judged: DataFrame, host: str, rules: HostRules) -> DataFrame:
 
     The prior of a rule is the beta distribution that has the mean of all documents and the spread of
     the hosts' rates beyond what chance gives at their sizes. Its weight is at most ``max_prior_weight``.
+    A host fails a rule when its posterior rate, ``margin`` standard deviations taken off, is above the limit and
+    above the rate of all documents: where most documents fail a rule, only hosts that stand out do.
     """
     hosts = stage(
         judged.groupBy(F.col(host).alias("host_key")).agg(
@@ -125,38 +128,42 @@ def host_rates(judged: DataFrame, host: str, rules: HostRules) -> DataFrame:
         k = F.col(f"k_{r}")
         parts += [F.sum(k).alias(f"sum_{r}"), F.var_samp(k / n).alias(f"var_{r}")]
     total = hosts.agg(F.sum("n_docs").alias("docs"), F.avg(1 / n).alias("inverse"), *parts).first()
-    columns = []
+    columns, means = [], {}
     for r in RULES:
         mean = (total[f"sum_{r}"] or 0) / max(total["docs"] or 0, 1)
+        means[r] = mean
         chance = mean * (1 - mean)
         spread = (total[f"var_{r}"] or 0.0) - chance * (total["inverse"] or 0.0)
         weight = min(max(chance / spread - 1, 1.0), rules.max_prior_weight) if spread > 0 else rules.max_prior_weight
-        columns.append(((F.col(f"k_{r}") + mean * weight) / (n + weight)).alias(f"rate_{r}"))
+        rate = (F.col(f"k_{r}") + mean * weight) / (n + weight)
+        columns += [rate.alias(f"rate_{r}"), F.sqrt(rate * (1 - rate) / (n + weight + 1)).alias(f"deviation_{r}")]
     failed = F.lit(False)
     for r in RULES:
-        failed = failed | (F.col(f"rate_{r}") > rules.max_host_rate)
-    return hosts.select("host_key", "n_docs", *columns).withColumn("host_failed", failed)
+        low = F.col(f"rate_{r}") - rules.margin * F.col(f"deviation_{r}")
+        failed = failed | (low > max(rules.max_host_rate, means[r]))
+    rated = hosts.select("host_key", "n_docs", *columns).withColumn("host_failed", failed)
+    return rated.drop(*[f"deviation_{r}" for r in RULES])
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", rules: HostRules = HostRules()) -> DataFrame:
+def judge(
+    docs: DataFrame, host: str = "source", text: str = "text", rules: HostRules = HostRules(), with_text: bool = True
+) -> DataFrame:
     """All rows and columns of ``docs`` with measures, ``base_failed``, ``fails_*``, ``host_failed`` and ``kept``.
 
-    A document is kept if it fails no rule itself and its host fails none by its shrunk rate. Measured
-    rows are staged once; only one row per host is joined back, and Spark splits a hot host's rows
-    where it doesn't broadcast that table. Columns of the same names as the added ones are replaced.
+    A document is kept if it does not fail the base rule and its host fails no rule by its shrunk rate; the other
+    rules speak through the hosts only. Measured rows are staged once (without ``text`` if ``with_text`` is false);
+    only one row per host is joined back, and Spark splits a hot host's rows where it doesn't broadcast that table.
+    Columns of the same names as the added ones are replaced.
 
     Null text: no words, fails base. Null host: a host of its own. Repeated rows are judged like any
-    other and count as often as they occur. No rows: no rows.
+    other and count as often as they occur. No rows: no rows. Mostly failing tables: see ``host_rates``.
     """
     docs = docs.drop(*[c for c in docs.columns if c in ADDED and c not in (host, text)])
     judged = measure(docs, text).withColumns({f"fails_{r}": c for r, c in failures(rules).items()})
-    judged = stage(judged, "judged")
+    judged = stage(judged if with_text or text == host else judged.drop(text), "judged")
     hosts = host_rates(judged, host, rules).select("host_key", "host_failed")
     joined = judged.join(hosts, judged[host].eqNullSafe(hosts["host_key"]), "left").drop("host_key")
-    fails = F.col("host_failed")
-    for r in RULES:
-        fails = fails | F.col(f"fails_{r}")
-    return joined.withColumn("base_failed", F.col("fails_base")).withColumn("kept", ~fails)
+    return joined.withColumn("base_failed", F.col("fails_base")).withColumn("kept", ~(F.col("fails_base") | F.col("host_failed")))
 
 
 def keep_documents(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:

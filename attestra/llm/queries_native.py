@@ -12,7 +12,7 @@ from .host_rules import MEASURES, judge
 
 def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return judge(docs).select("doc_id", *MEASURES, "base_failed", "kept", "host_failed")
+    return judge(docs, with_text=False).select("doc_id", *MEASURES, "base_failed", "kept", "host_failed")
 
 
 def curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +53,12 @@ prior AS (
     coalesce(var_samp(k / n), 0) - (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) * avg(1.0 / n) AS spread
   FROM host GROUP BY r),
 weighed AS (SELECT r, m, CASE WHEN spread > 0 THEN least(greatest(chance / spread - 1, 1.0), 1e6) ELSE 1e6 END AS w FROM prior),
+rated AS (SELECT source, m, (k + m * w) / (n + w) AS rate, n + w + 1 AS weight FROM host JOIN weighed USING (r)),
 verdict AS (
-  SELECT source, bool_or((k + m * w) / (n + w) > 0.5) AS host_failed
-  FROM host JOIN weighed USING (r) GROUP BY source)
+  SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / weight) > greatest(0.5, m)) AS host_failed
+  FROM rated GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed,
-  NOT (f_base OR f_symbols OR f_lines OR f_length OR host_failed) AS kept, host_failed
+  NOT (f_base OR host_failed) AS kept, host_failed
 FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source
 """
 

@@ -50,6 +50,15 @@ def test_bad_host_takes_its_documents(spark):
     assert kept == {*range(30), 200}
 
 
+def test_mostly_failing_corpus_keeps_its_good_documents(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(i, good if i % 20 < 9 else "short", f"host{i % 3}") for i in range(600)], "doc_id long, text string, source string"
+    )
+    assert {r.doc_id for r in keep_documents(docs).collect()} == {i for i in range(600) if i % 20 < 9}
+    assert "text" not in judge(docs, with_text=False).columns
+
+
 def test_clashing_names_and_empty(spark, nothing, tricky):
     assert judge(nothing).count() == 0
     clash = tricky.withColumn("n_words", F.lit("x")).withColumn("words_", F.lit(1)).withColumn("kept", F.lit(None))
