@@ -517,11 +517,12 @@ QUERIES = {
              WHEN outcome = 'refused' THEN 'refused after the model declined'
              ELSE 'no verified answer' END AS label,
         CASE WHEN outcome = 'passed' AND NOT escalated
-             THEN 'Answered by tier-1 and verified by the gate (' || model_calls || ' model call).'
-             WHEN outcome = 'passed' THEN 'Tier-1 failed the gate; escalated once to tier-2 and verified (' || model_calls || ' model calls).'
-             WHEN outcome = 'refused' AND model_calls = 0 THEN 'Refused by the BM25 pre-check before any model call.'
-             WHEN outcome = 'refused' THEN 'The model declined; the canonical safe refusal was returned.'
-             ELSE 'No answer passed the gate; the canonical safe refusal was returned.' END AS scenario
+             THEN 'The first model''s answer passed all checks (calls: ' || model_calls || ').'
+             WHEN outcome = 'passed'
+             THEN 'The first answer failed a check, the second model''s passed (calls: ' || model_calls || ').'
+             WHEN outcome = 'refused' AND model_calls = 0 THEN 'No passage was relevant enough, so no model was asked.'
+             WHEN outcome = 'refused' THEN 'The model found no answer in the passages; the fixed refusal was given.'
+             ELSE 'No answer passed all checks; the fixed refusal was given.' END AS scenario
         FROM answered""",
     ),
     "raw_setup": (raw_setup, f"WITH {_DOCUMENTS}, {_RAW_RECORDS} {_FLAT} raw_records"),
