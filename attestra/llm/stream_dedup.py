@@ -26,6 +26,8 @@ from .common import BLANKS, stage
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # otherwise each partition's store takes 4 MB of disk ahead, however little it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 _settings = threading.Lock()
 
@@ -142,7 +144,8 @@ def report(spark: SparkSession, job: StreamDedup) -> DataFrame:
     all others are joined by shuffle, and none of them can fill a task.
     """
     keys = spark.read.parquet(f"{job.home}/keys")
-    hits = stage(entries(spark, job).where("size > 1"), "hits")
+    with _state_settings(spark):
+        hits = stage(entries(spark, job).where("size > 1"), "hits")
     docs = job.documents(spark)
     collided = stage(collisions(docs, broadcast_if_fits(hits, job.broadcast_rows)), "collided")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
