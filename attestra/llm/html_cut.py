@@ -21,8 +21,11 @@ BLOCK = frozenset(
     "search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|title|textarea"
+#: Elements whose content is never text of the page: up to their end tag, and those of markup, which may be nested.
+RAW = "script|style|noscript|iframe|title|textarea"
+SKIP = frozenset("template object svg canvas audio video annotation annotation-xml".split())
+#: Elements that ``/>`` closes, and those that a block of the page ends if they are still open.
+SELF_CLOSING = frozenset({"svg", "annotation", "annotation-xml"})
 #: Elements that another start of their kind ends, up to the element that bounds them.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -37,6 +40,12 @@ _BAD_HINT = re.compile(
     r"sign-?up|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|search|"
     r"copyright|legal|disclaimer|skip|tags)(?:$|[\s_-])"
 )
+#: Inside an article a hint counts where it is the last word of a name, or one of these follows.
+_PLACE = (
+    "area|bar|block|body|bottom|box|button|buttons|column|container|content|element|form|grid|group|inner|item|items|label|left|line|"
+    "link|links|list|main|menu|module|outer|panel|placeholder|posts|right|row|section|slot|text|thread|top|unit|wrap|wrapper|\\d+"
+)
+_STRICT_HINT = re.compile(_BAD_HINT.pattern.removesuffix(r"(?:$|[\s_-])") + rf"(?=(?:[_-](?:{_PLACE}))*(?:\s|$))")
 _GOOD_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|body|text|blog|page)(?:$|[\s_-])")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -90,6 +99,8 @@ class _Parser:
 
     def blocks(self, html: str) -> list[Block]:
         self.stack: list[tuple[str, int, float, bool]] = []
+        #: open elements of ``SKIP``, and blocks opened inside them
+        self.skipped, self.within = [], []
         self.count, self.parts, self.linked, self.links = 0, [], 0, 0
         self.found: list[Block] = []
         end = 0
@@ -109,6 +120,8 @@ class _Parser:
         return self.found
 
     def words(self, raw: str) -> None:
+        if self.skipped:
+            return
         self.parts.append(raw)
         if self.links:
             self.linked += len(raw.split()) and len(raw)
@@ -122,6 +135,14 @@ class _Parser:
         self.parts, self.linked = [], 0
 
     def open(self, name: str, attributes: str) -> None:
+        if name in SKIP and not (name in SELF_CLOSING and attributes.rstrip().endswith("/")):
+            self.skipped.append(name)
+        if self.skipped:
+            # a picture that is never closed ends where the page goes on
+            if name not in BLOCK or set(self.skipped) - {"svg"}:
+                self.within += [name] * (name in BLOCK and name not in VOID)
+                return
+            self.skipped, self.within = [], []
         if name == "br":
             self.parts.append(" ")
         if name == "a":
@@ -155,7 +176,8 @@ class _Parser:
         if attributes and name not in ("html", "body", "article", "main"):
             hints = " ".join(a or b or c for a, b, c in _HINTS.findall(attributes))
             hints = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", hints).lower()
-            if hints and _BAD_HINT.search(hints):
+            bad = _STRICT_HINT if inside & CONTENT_TAGS else _BAD_HINT
+            if hints and bad.search(hints):
                 weight += costs.bad_hint
             elif hints and _GOOD_HINT.search(hints):
                 weight += costs.good_hint
@@ -169,6 +191,17 @@ class _Parser:
         return False
 
     def close(self, name: str) -> None:
+        if self.skipped:
+            if name in self.skipped:
+                del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(name) :]
+                self.within = self.within if self.skipped else []
+                return
+            if name in self.within:
+                self.within.remove(name)
+                return
+            if not any(t == name for t, *_ in self.stack):
+                return
+            self.skipped, self.within = [], []
         if name == "a":
             self.links = max(0, self.links - 1)
         if name in BLOCK:

@@ -7,19 +7,19 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.session import broadcast_if_fits
+
 from .common import shared_path, slices, stage
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A header block that does not end within this many bytes is no record.
-HEADER_BYTES = 1 << 16
 
 
 def digest_of(payload: bytes) -> str:
@@ -34,15 +34,19 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(head + block + b"\r\n\r\n") + packer.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def _urn(page_id: str | None) -> str:
+    return f"<urn:page:{'' if page_id is None else quote(page_id, safe='')}>"
+
+
+def page_record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool, date: str) -> bytes:
     """A response with its payload, or a revisit with only the HTTP headers of the response."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", date)]
+    headers = [("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date)]
     if url is not None:
         headers.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]|^{}\"<>")))
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}")]
     if revisit:
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to))]
         return record("revisit", headers, http)
     return record("response", headers, http + payload)
 
@@ -78,12 +82,13 @@ class _Write:
         return pa.RecordBatch.from_pydict({"path": [f"{self.folder}/{name}"], "bytes": [size], "records": [records]})
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archive_bytes: int = 256 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archive_bytes: int = 256 << 20, date: str = "1970-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) and returns the staged list of archives (path, bytes, records).
 
     Of records with equal payloads of at least ``min_bytes`` bytes, those with the largest page_id are
-    responses, the others revisit it. Only digests that occur more than once are joined back, so
-    payloads do not move unless that list is too large to broadcast; Spark then splits hot digests.
+    responses, the others revisit it. Only digests that occur more than once are joined back. Their list is
+    staged and counted: up to ``broadcast_rows`` it is broadcast and payloads do not move; beyond, payloads are
+    shuffled by digest and Spark splits hot digests. Ids may have any type that can be ordered and cast to text.
     ``folder`` is a URI or path that executors share, by default in the staging folder.
 
     Null html is an empty payload; a null url has no target header. A null page_id counts as smaller than
@@ -92,7 +97,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     equal = (
         rows.where(F.octet_length("payload") >= min_bytes)
@@ -101,8 +106,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
         .where("n > 1")
         .select("sha", "newest")
     )
+    equal = broadcast_if_fits(stage(equal, "equal"), broadcast_rows)
     revisit = F.coalesce(F.col("page_id") < F.col("newest"), F.col("newest").isNotNull())
-    joined = rows.join(equal, "sha", "left").select("page_id", "url", "payload", F.col("newest").alias("refers_to"), revisit.alias("revisit"))
+    joined = rows.join(equal, "sha", "left").select(
+        F.col("page_id").cast("string"), "url", "payload", F.col("newest").cast("string").alias("refers_to"), revisit.alias("revisit")
+    )
     return stage(joined.mapInArrow(_Write(folder, archive_bytes, date), "path string, bytes long, records long"), "archives")
 
 
@@ -124,10 +132,10 @@ def decode_member(read, start: int) -> Member | None:
     """The record at ``start``, or None if no gzip member with a whole WARC record starts there.
 
     ``read(offset, length)`` gives bytes of the file. A candidate is given up as soon as its data can't be
-    inflated, doesn't begin like a record, or its header block doesn't end.
+    inflated, doesn't begin like a record, or ends before its header block does; header blocks may have any length.
     """
     inflate, data, at, step = zlib.decompressobj(31), bytearray(), start, 1 << 12
-    headers, body = None, 0
+    headers, body, seen = None, 0, 0
     while not inflate.eof:
         chunk = read(at, step)
         if not chunk:
@@ -140,13 +148,12 @@ def decode_member(read, start: int) -> Member | None:
         if headers is None:
             if not data.startswith(b"WARC/1."[: len(data)]):
                 return None
-            end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+            end = data.find(b"\r\n\r\n", max(0, seen - 3))
+            seen = len(data)
             if end >= 0:
                 headers, body = _fields(bytes(data[:end])), end + 4
                 if not headers.get("content-length", "").isdigit():
                     return None
-            elif len(data) >= HEADER_BYTES:
-                return None
     if headers is None or len(data) != body + int(headers["content-length"]) + 4:
         return None
     return Member(start, at - start - len(inflate.unused_data), headers, bytes(data[body:-4]))
@@ -190,9 +197,10 @@ class _Read:
                         yield pa.RecordBatch.from_pylist(rows, self.schema())
 
     def row(self, path: str, m: Member) -> dict:
-        def page(name: str) -> int | None:
-            value = m.headers.get(name, "").removeprefix("<urn:page:").removesuffix(">")
-            return int(value) if value.lstrip("-").isdigit() else None
+        def page(name: str) -> str | None:
+            value = m.headers.get(name, "")
+            named = value.startswith("<urn:page:") and value != _urn(None)
+            return unquote(value.removeprefix("<urn:page:").removesuffix(">")) if named else None
 
         kind = m.headers.get("warc-type", "")
         stated = m.headers.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -213,23 +221,32 @@ class _Read:
 
     def schema(self) -> pa.Schema:
         text, number = pa.string(), pa.int64()
-        fields = [("path", text), ("start", number), ("record_type", text), ("page_id", number), ("url", text), ("payload_bytes", number), ("payload_digest", text), ("intact", pa.bool_()), ("refers_to", number)]
+        fields = [("path", text), ("start", number), ("record_type", text), ("page_id", text), ("url", text), ("payload_bytes", number), ("payload_digest", text), ("intact", pa.bool_()), ("refers_to", text)]
         return pa.schema([*fields, *([("payload", pa.binary())] if self.payloads else [])])
 
 
-def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True, id_type: str = "long") -> DataFrame:
     """A row per response and revisit of the archives (path, bytes), which tasks read in ranges of ``split_bytes``.
 
     A record belongs to the range it starts in. Columns: path, start, record_type, page_id, url,
     payload_bytes and payload_digest of the full payload, intact (the digest is the stated one), refers_to, and
-    payload (null for revisits) unless ``payloads`` is false. Damaged members are passed over; other
-    record types are left out. Empty archives have no rows.
+    payload (null for revisits) unless ``payloads`` is false. Ids are cast to ``id_type``, null where they can't be.
+    Damaged members are passed over (``lost_records`` counts them); other record types are left out. Empty
+    archives have no rows.
     """
     ranges = archives.where("bytes > 0").select(
         "path", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("from"), "bytes"
     )
     ranges = ranges.select("path", "from", F.least(F.col("from") + split_bytes, F.col("bytes")).alias("to"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shape = "path string, start long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, intact boolean, refers_to long"
+    shape = "path string, start long, record_type string, page_id string, url string, payload_bytes long, payload_digest string, intact boolean, refers_to string"
     rows = ranges.repartition(tasks, "path", "from").mapInArrow(_Read(payloads), shape + (", payload binary" if payloads else ""))
-    return rows.where(F.col("record_type").isin("response", "revisit"))
+    rows = rows.where(F.col("record_type").isin("response", "revisit"))
+    return rows.withColumns({c: F.col(c).try_cast(id_type) for c in ("page_id", "refers_to")})
+
+
+def lost_records(archives: DataFrame, rows: DataFrame) -> DataFrame:
+    """(path, records, read) of the archives of which ``rows`` (as ``read_archives`` gives them) has another number of records."""
+    read = rows.groupBy("path").agg(F.count(F.lit(1)).alias("read"))
+    both = archives.select("path", "records").join(read, "path", "left").withColumn("read", F.coalesce("read", F.lit(0).cast("long")))
+    return both.where("records != read")

@@ -70,6 +70,21 @@ def test_no_pages(spark, pages):
     assert warc.read_archives(spark, warc.write_archives(pages.where("false"))).count() == 0
 
 
+def test_long_headers_and_text_ids(spark):
+    rows = [("a b/é", "http://x.example/" + "é" * 22_000, "one"), ("z", "u", "one"), (None, "v", "two"), ("", "w", "three")]
+    listed = warc.write_archives(spark.createDataFrame(rows, PAGES.replace("page_id long", "page_id string")))
+    got = warc.read_archives(spark, listed, split_bytes=500, id_type="string")
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got.where("page_id <> ''").collect()} == {("a b/é", "revisit", "z"), ("z", "response", None)}
+    assert got.count() == 4 and warc.lost_records(listed, got).count() == 0
+    assert sum(r.records - r.read for r in warc.lost_records(listed, got.where("page_id = 'z'")).collect()) == 3
+    assert warc.read_archives(spark, listed).where("page_id IS NOT NULL").count() == 0
+
+
+def test_payloads_do_not_move(spark, pages):
+    listed = warc.write_archives(pages, broadcast_rows=0)  # the same rows by a shuffle
+    assert warc.read_archives(spark, listed, payloads=False).count() == pages.count()
+
+
 TURNS = "pair_id long, turn long, role string, text string"
 
 
@@ -159,6 +174,39 @@ def test_extraction():
     ]
 
 
+def _article(body):
+    return f"<article><p>The first paragraph says what this is all about.</p>{body}<p>The last paragraph ends the article.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "body, kept",
+    [
+        ('<p>An icon <svg width="1"/> inside a line.</p>', "An icon inside a line."),
+        ("<p>A picture <svg><svg><text>no</text></svg><text>no</text></svg> nested.</p>", "A picture nested."),
+        ("<p>Never closed <svg><path d='x'></p><p>The page goes on after it.</p>", "Never closed\n\nThe page goes on after it."),
+        ("<p>Two <object><object>no</object><p>no</p></object> objects.</p>", "Two objects."),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>", "So x=2 holds."),
+        ('<section class="related-work"><p>Earlier papers study the same question at length.</p></section>', "Earlier papers study the same question at length."),
+        ('<section id="comments-on-the-law"><p>The court read the law in another way than most.</p></section>', "The court read the law in another way than most."),
+        ('<section class="related-posts"><p>Another story that has nothing to do with this one.</p></section>', ""),
+        ('<div id="comments"><p>I have read it twice and will tell all of my friends.</p></div>', ""),
+    ],
+)
+def test_article_parts(body, kept):
+    first, last = "The first paragraph says what this is all about.", "The last paragraph ends the article."
+    assert hc.main_text(_article(body)) == "\n\n".join(x for x in (first, kept, last) if x)
+
+
+def test_cut_overrules_a_block_alone():
+    """A short line in a page without hints looks like boilerplate alone, not between two paragraphs."""
+    long = "A paragraph of the page that is long enough to be told as content by itself, with its end."
+    page = f"<body><p>{long}</p><p>In short</p><p>{long}</p></body>"
+    costs = hc.Costs()
+    scores = [hc.evidence(b, costs) for b in hc._Parser(costs).blocks(page)]
+    assert scores[1] < 0 < scores[0]
+    assert hc.main_text(page) == f"{long}\n\nIn short\n\n{long}"
+
+
 def test_cut_is_minimal():
     rng = random.Random(8)
     for _ in range(60):
