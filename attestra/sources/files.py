@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import strip_space
+from ..session import broadcast_if_fits, stage
 
 PASSAGE = "id string, topic_id string, title string, text string, lang string, source_url string"
 QUESTION = (
@@ -14,17 +16,40 @@ QUESTION = (
 )
 
 
+#: Up to so many ranges of files, a row each, are broadcast to number the lines.
+MAX_RANGES = 500_000
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``pos``, the number of a row by file path, then place in the file; ``rows`` is a scan with the three parts of ``_place``.
+
+    Tasks read ranges of files in any order (large ones first), but each range from its start on. So the rows
+    of a range are counted, and ranges get their first number in the order of files.
+    """
+    ranges = stage(rows.groupBy("file_", "block_").agg(F.min("seq_").alias("first_"), F.count(F.lit(1)).alias("n_")), "ranges")
+    before = W.orderBy("file_", "block_").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select("file_", "block_", "first_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    placed = rows.join(broadcast_if_fits(starts, MAX_RANGES), ["file_", "block_"])
+    pos = (F.col("before_") + F.col("seq_") - F.col("first_")).alias("pos")
+    return placed.select(pos, *[c for c in rows.columns if c not in ("file_", "block_", "seq_")])
+
+
+def _place() -> list[Column]:
+    return [
+        F.col("_metadata.file_path").alias("file_"),
+        F.col("_metadata.file_block_start").alias("block_"),
+        F.monotonically_increasing_id().alias("seq_"),
+    ]
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    # ids increase along a file, so they keep its row order
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("pos"), strip_space(F.col("value")).alias("line")
-    )
+    return _numbered(spark.read.text(path).select(*_place(), strip_space(F.col("value")).alias("line")))
 
 
 def read_jsonl(
     spark: SparkSession, path: str, schema: str, comments: bool = False, strict: bool = True
 ) -> DataFrame:
-    """Rows of a JSON Lines file with ``pos``, blank lines skipped.
+    """Rows of a JSON Lines file, or a folder of them, with ``pos`` (line number over the files by path), blank lines skipped.
 
     ``comments`` also skips lines starting with '#'. A malformed line raises when ``strict`` and is
     dropped otherwise; a missing file then reads as empty.
@@ -74,8 +99,8 @@ def read_traces(
         return None
     if "question" not in rows.columns:
         return None
-    # file order decides between runs of one question; ids grow with it inside and between partitions
-    return rows if "pos" in rows.columns else rows.withColumn("pos", F.monotonically_increasing_id())
+    # file order decides between runs of one question
+    return rows if "pos" in rows.columns else _numbered(rows.select(*_place(), "*"))
 
 
 def read_results(spark: SparkSession, path: str, caveats: tuple[str, ...] = ()) -> DataFrame:

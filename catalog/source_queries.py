@@ -58,6 +58,16 @@ def jsonl_comments(spark, sf_dir):
     return _digests(files.read_jsonl(spark, path, PASSAGE, comments=True))
 
 
+def file_order(spark, sf_dir):
+    """Documents in files of different sizes, sorted by id over the files, read back with their line numbers."""
+    docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text")
+    path = _folder(spark, "pack")
+    files_of = F.floor(F.log2(F.col("doc_id") + 1)).cast("int")
+    docs.withColumn("part", files_of).repartitionByRange("part").sortWithinPartitions("part", "doc_id").select("id", "text").write.json(path)
+    rows = files.read_jsonl(spark, path, "id string, text string")
+    return rows.select("pos", "id", F.md5("text").alias("text_md5"))
+
+
 def recorded_traces(spark, sf_dir):
     """Recorded runs written as JSON Lines and read back with their order."""
     turns = inputs.table(spark, sf_dir, "conversations")
@@ -87,7 +97,8 @@ def settings_file(spark, sf_dir):
     customers = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     path = _folder(spark, "settings")
     line = F.concat(F.lit("# c\n KEY_"), (F.col("c_custkey") % 50), F.lit(" = \""), F.col("c_name"), F.lit("\" \nno value\n"))
-    customers.orderBy("c_custkey").coalesce(1).select(line.alias("value")).write.text(path)
+    # sorted ranges are files in order of their names, and lines are numbered by file
+    customers.orderBy("c_custkey").select(line.alias("value")).write.text(path)
     return files.read_settings(spark, path)
 
 
@@ -153,6 +164,10 @@ QUERIES = {
     "jsonl_strict": (jsonl_strict, _DOCS),
     "jsonl_lenient": (jsonl_lenient, _DOCS),
     "jsonl_comments": (jsonl_comments, _DOCS),
+    "file_order": (
+        file_order,
+        "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5 FROM documents",
+    ),
     "recorded_traces": (recorded_traces, "SELECT count(*) AS n, count(DISTINCT text) AS questions FROM conversations"),
     "results_document": (
         results_document,

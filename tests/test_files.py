@@ -28,6 +28,24 @@ def test_jsonl_modes(spark, tmp_path):
     assert files.read_passages(spark, str(content)).first().text == "body"
 
 
+def test_lines_keep_the_order_of_files(spark, tmp_path):
+    """Also where Spark reads large files first and one file in several ranges."""
+    want = []
+    for name, n in (("a", 1), ("b", 300), ("c", 3), ("d", 90)):
+        ids = [f"{name}{i}" for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"id": "{i}", "question": "{i}", "text": "{"x" * 50}"}}\n\n' for i in ids))
+        want += ids
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = files.read_passages(spark, str(tmp_path)).orderBy("pos").collect()
+        runs = files.read_traces(spark, str(tmp_path), "id string, question string", lines=True).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.id for r in rows] == want and [r.pos for r in rows] == [2 * i for i in range(len(want))]
+    assert [r.id for r in runs] == want
+
+
 def test_documents_and_settings(spark, tmp_path):
     runs = tmp_path / "runs.json"
     runs.write_text('[{"question": "q", "answer": "a"}, {"question": "r", "answer": "b"}]')
