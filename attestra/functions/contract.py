@@ -54,6 +54,7 @@ def escalation_messages(
     question: Column, passages: Column, previous: Column, failures: Column
 ) -> Column:
     """Messages of the second attempt: prior output and why it failed."""
+    # fixed values: the wording of this request
     bullets = F.array_join(F.transform(failures, lambda f: F.concat(F.lit("- "), f)), "\n")
     user = F.concat(
         F.lit("Reference Context:\n"),
@@ -76,6 +77,7 @@ def escalation_messages(
 
 def judge_messages(question: Column, passages: Column, answer: Column) -> Column:
     """Messages asking whether an answer is grounded in the passages."""
+    # fixed values: the wording of this request
     user = F.concat(
         F.lit("Reference Context:\n"),
         format_context(passages),
@@ -149,8 +151,15 @@ def string_list(data: Column, field: str) -> Column:
 
 
 def quoted_list(items: Column) -> Column:
-    """['a', 'b'] as it appears in failure messages."""
-    return F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
+    """['a', 'b'] as it appears in failure messages; a text with a single quote stands in double ones, or escaped."""
+
+    def quoted(item: Column) -> Column:
+        plain = F.replace(item, F.lit("\\"), F.lit("\\\\"))
+        escaped = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        double = F.contains(item, F.lit("'")) & ~F.contains(item, F.lit('"'))
+        return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(escaped)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
 
 
 def type_failures(data: Column) -> Column:

@@ -185,3 +185,11 @@ def test_prompts(spark):
     assert "Verification failures identified:\n- one\n- two\n\nCorrection" in row.again[1].content
     assert row.nothing == "No reference passages available."
     assert row.mr.startswith("उपलब्ध") and row.other.startswith("I cannot")
+
+
+def test_quoted_lists(spark):
+    from attestra.functions.contract import quoted_list
+
+    for items in (["a", "b"], ["it's", 'say "x"'], ["both ' and \"", "back\\slash"], []):
+        df = spark.createDataFrame([(items,)], "v array<string>")
+        assert df.select(quoted_list(F.col("v")).alias("q")).first().q == str(items)
