@@ -1,9 +1,14 @@
 """Language-model scores by a probabilistic suffix tree over bytes.
 
 Symbols are the bytes of the normalised text: words in lower case (A-Z), one blank between them, an end sign
-after the last. A context is a candidate while at least ``min_part`` of all symbols follow it, which bounds the
-tree at every corpus size; it is retained if its next symbols diverge from those of its suffix. A text is scored
-symbol by symbol from the longest retained suffix of what came before.
+after the last. Every context of up to ``depth`` bytes that occurs ``min_count`` times is tested, whatever the size of
+the corpus: it is retained if its next symbols diverge from what the longest retained suffix of it predicts. The
+test is a join of the contexts of a length with those one byte shorter. A symbol is scored from the longest
+retained suffix of what came before.
+
+Contexts are packed with the newest byte highest, so a context stands before all that end in it, and a range of
+packed contexts needs beside itself only the suffixes of its first. A tree too large for one broadcast is
+therefore cut into ranges; each scores the symbols whose contexts lie in it, and the parts are summed by row.
 """
 
 from __future__ import annotations
@@ -14,26 +19,30 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, slices, stage
 
 END, PAD = b"\n", b"\0"
+#: longest context a packed key holds
+LONGEST = 7
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``depth``: longest context in bytes, at most 7. ``min_part``: see above; the tree has at most depth / ``min_part``
-    contexts. A context is retained if its log-likelihood gain over its suffix, in nats, is above ``penalty``
+    """``depth``: longest context in bytes, at most 7. ``min_count``: fewest occurrences of a context that is tested.
+    A context is retained if its log-likelihood gain over its suffix, in nats, is above ``penalty``
     times half the logarithm of its count for each kind of next symbol (1: the Bayesian information criterion).
-    ``frequent_part``: words with at least this part of all tokens are broadcast with their counts, so at
-    most 1 / ``frequent_part`` of them; the others are joined.
+    ``shard_rows``: (context, next symbol) rows of the tree in one broadcast, about 20 bytes each; a larger tree is
+    cut into ranges of that size. ``frequent_part``: words with at least this part of all tokens are broadcast with
+    their counts, so at most 1 / ``frequent_part`` of them; the others are joined.
     """
 
-    depth: int = 6
-    min_part: float = 4e-6
+    depth: int = 7
+    min_count: int = 16
     penalty: float = 1.0
+    shard_rows: int = 4_000_000
     frequent_part: float = 5e-7
 
 
@@ -46,15 +55,15 @@ def word_hash(word: bytes) -> int:
 
 
 def windows(texts: list[bytes], depth: int) -> np.ndarray:
-    """Each symbol with the ``depth`` symbols before it, packed, the symbol itself in the lowest byte."""
+    """Every symbol with the ``depth`` symbols before it, packed: the symbol in the lowest byte, its context above, newest byte first."""
     flat = np.frombuffer(b"".join(PAD * depth + t + END for t in texts), np.uint8)
-    n = len(flat) - depth
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    packed = np.zeros(n, np.uint64)
-    for i in range(depth + 1):
-        packed = (packed << np.uint64(8)) | flat[i : i + n]
-    return packed[flat[depth:] != 0]
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    # symbol j of text i lies behind the pads of i + 1 texts
+    at = np.arange(int(sizes.sum())) + depth * np.repeat(np.arange(1, len(texts) + 1), sizes)
+    packed = np.zeros(len(flat), np.uint64)
+    for back in range(1, depth + 1):
+        packed[back:] |= flat[:-back].astype(np.uint64) << np.uint64(8 * (LONGEST + 1 - back))
+    return packed[at] | flat[at]
 
 
 class _Tally:
@@ -124,107 +133,141 @@ def count(docs: DataFrame, text: str, depth: int) -> DataFrame:
     return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "symbols")
 
 
-class Automaton:
-    """The retained contexts as states: log10 of the next symbol's probability and the next state, by state and symbol.
+def newest(length: int) -> int:
+    """Mask of the ``length`` newest bytes of a packed context."""
+    return ((1 << 8 * length) - 1) << 8 * (LONGEST - length)
 
-    ``symbol`` maps bytes to columns; the last column stands for bytes that were never seen, each with the
-    root's share for one of 256 symbols, after which the state is the root.
-    """
 
-    def __init__(self, contexts: list[tuple[int, int, list[int], list[int]]], depth: int, penalty: float):
-        """``contexts``: (length, packed bytes, next symbols, their counts), candidates with all their suffixes."""
-        seen = sorted({s for d, _, nexts, _ in contexts if d == 0 for s in nexts} | {0})
-        self.depth, width = depth, len(seen) + 1
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        place = [{} for _ in range(depth + 2)]
-        for d, key, nexts, counts in sorted(contexts, key=lambda c: c[:2]):
-            place[d][key] = (len(place[d]), self.symbol[nexts], np.array(counts, float))
-        place[0].setdefault(0, (0, np.empty(0, np.int64), np.empty(0)))
-        kept, share = [set() for _ in range(depth + 1)], [None] * (depth + 1)
-        kept[0].add(0)
-        for d in range(depth + 1):
-            share[d] = np.empty((len(place[d]), width), np.float64)
-            for key, (row, nexts, counts) in place[d].items():
-                if d:
-                    parent = share[d - 1][place[d - 1][key & ((1 << 8 * (d - 1)) - 1)][0]]
-                else:
-                    parent = np.full(width, 1 / 256)
-                total, kinds = counts.sum(), max(len(counts), 1)
-                own = parent * kinds
-                own[nexts] += counts
-                share[d][row] = own / (total + kinds)
-                if d:
-                    gain = (counts * np.log(counts / total / parent[nexts])).sum()
-                    if gain > penalty * 0.5 * kinds * np.log(total):
-                        kept[d].add(key)
-        # suffixes stand below a state, prefixes lead to it
-        for d in range(depth, 1, -1):
-            for key in kept[d]:
-                kept[d - 1].add(key & ((1 << 8 * (d - 1)) - 1))
-                if key >> 8 in place[d - 1]:
-                    kept[d - 1].add(key >> 8)
-        state = {(d, key): i for i, (d, key) in enumerate((d, k) for d in range(depth + 1) for k in sorted(kept[d]))}
-        self.width = width
-        self.log = np.empty((len(state), width), np.float32)
-        self.next = np.zeros((len(state), width), np.int32)
-        for (d, key), i in state.items():
-            self.log[i] = np.log10(share[d][place[d][key][0]])
-            if d:
-                self.next[i] = self.next[state[d - 1, key & ((1 << 8 * (d - 1)) - 1)]]
-            if d < depth:
-                for byte in seen:
-                    longer = state.get((d + 1, key << 8 | byte))
-                    if longer is not None:
-                        self.next[i, self.symbol[byte]] = longer * width
-        self.log, self.next = self.log.ravel(), self.next.ravel()
-
-    def scores(self, texts: list[bytes], piece: int = 512) -> np.ndarray:
-        """log10 of the probability of each normalised text with its end sign.
-
-        Texts are cut into pieces that are walked side by side. A piece starts ``depth`` symbols early at
-        the root: after them the state is the same as that of a walk from the text's start.
-        """
-        d = self.depth
-        flat = self.symbol[np.frombuffer(b"".join(PAD * d + t + END for t in texts), np.uint8)].astype(np.int32)
-        sizes = np.array([len(t) + 1 for t in texts])
-        starts = np.cumsum(sizes + d) - sizes - d
-        pieces = (sizes + piece - 1) // piece
-        doc = np.repeat(np.arange(len(texts)), pieces)
-        number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin, length = starts[doc] + number * piece, np.minimum(piece, sizes[doc] - number * piece)
-        order = np.argsort(-length, kind="stable")
-        begin, length, doc = begin[order], length[order], doc[order]
-        active = np.searchsorted(-length, -np.arange(piece), side="left")
-        state, total = np.zeros(len(doc), np.int32), np.zeros(len(doc))
-        for t in range(d):
-            state = self.next[state + flat[begin + t]]
-        for t in range(int(length.max(initial=0))):
-            n = active[t]
-            at = state[:n] + flat[begin[:n] + (d + t)]
-            total[:n] += self.log[at]
-            state = self.next[at]
-        return np.bincount(doc, total, len(texts))
-
-
-def automaton(counts: DataFrame, tree: Tree) -> Automaton:
-    """Builds the tree from window counts: contexts of all lengths, those above ``min_part`` come to the driver."""
-    symbols = counts.where("kind = 1").select("key", "n")
-    total = symbols.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    spread = F.array(
-        *[
-            F.struct(F.lit(d).alias("d"), F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"))
-            for d in range(tree.depth + 1)
-        ]
+def candidates(counts: DataFrame, tree: Tree) -> DataFrame:
+    """(d, context, size, next) of every context of ``d`` bytes that occurs ``min_count`` times; next: counts by symbol, at most 256."""
+    symbols = counts.where("kind = 1").select(F.shiftrightunsigned("key", 8).alias("whole"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n")
+    suffixes = F.array(
+        *[F.struct(F.lit(d).alias("d"), F.col("whole").bitwiseAND(F.lit(newest(d)).cast("long")).alias("context")) for d in range(tree.depth + 1)]
     )
-    rows = symbols.select(F.explode(spread).alias("c"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n")
-    nexts = rows.groupBy("c", "s").agg(F.sum("n").alias("n"))
-    contexts = nexts.groupBy("c").agg(F.sum("n").alias("all"), F.collect_list(F.struct("s", "n")).alias("next"))
-    found = contexts.where(F.col("all") >= tree.min_part * total).select(
-        F.col("c.d").alias("d"), F.col("c.context").alias("context"), "next.s", "next.n"
-    )
-    table = found.toArrow().to_pydict()
-    return Automaton(list(zip(table["d"], table["context"], table["s"], table["n"])), tree.depth, tree.penalty)
+    nexts = symbols.select(F.explode(suffixes).alias("c"), "s", "n").groupBy("c", "s").agg(F.sum("n").alias("n"))
+    contexts = nexts.groupBy("c").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("next"))
+    return contexts.where((F.col("size") >= tree.min_count) | (F.col("c.d") == 0)).select("c.d", "c.context", "size", "next")
+
+
+def retained(counts: DataFrame, tree: Tree) -> DataFrame:
+    """Staged (d, context, rest, s, p): the retained contexts, for each next symbol seen there log10 of its probability.
+
+    ``rest`` is log10 of the factor for a symbol that was not seen there, before its probability at the longest
+    retained suffix. Lengths are tested in turn, each by a join with the length before.
+    """
+    found, levels, before = stage(candidates(counts, tree), "contexts"), [], None
+    kinds = F.size("next")
+    for d in range(tree.depth + 1):
+        rows = found.where(F.col("d") == d)
+        if before is None:
+            known = rows.withColumn("above", F.transform_values("next", lambda s, n: F.lit(1 / 256)))
+            keep: Column = F.lit(True)
+        else:
+            suffix = before.select(F.col("context").alias("suffix"), F.col("p").alias("above"))
+            known = rows.withColumn("suffix", F.col("context").bitwiseAND(F.lit(newest(d - 1)).cast("long"))).join(suffix, "suffix")
+            gain = F.aggregate(
+                F.map_entries("next"),
+                F.lit(0.0),
+                lambda sum_, e: sum_ + e["value"] * F.log(e["value"] / F.col("size") / F.element_at("above", e["key"])),
+            )
+            keep = gain > F.lit(tree.penalty * 0.5) * kinds * F.log("size")
+        own = F.transform_values("next", lambda s, n: (n + kinds * F.element_at("above", s)) / (F.col("size") + kinds))
+        passed_on = F.transform_values("next", lambda s, n: F.element_at("above", s))
+        judged = known.withColumn("kept", keep).select(
+            "d",
+            "context",
+            "kept",
+            F.log10(kinds / (F.col("size") + kinds)).alias("rest"),
+            F.when(F.col("kept"), own).otherwise(passed_on).alias("p"),
+        )
+        before = stage(judged, "level")
+        levels.append(before.where("kept"))
+    rows = levels[0]
+    for level in levels[1:]:
+        rows = rows.union(level)
+    rows = rows.select("d", "context", F.col("rest").cast("float").alias("rest"), F.explode("p").alias("s", "p"))
+    rows = rows.select("d", "context", "rest", F.col("s").cast("short").alias("s"), F.log10("p").cast("float").alias("p"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(rows.repartitionByRange(tasks, "context").sortWithinPartitions("context"), "tree")
+
+
+class Shard:
+    """Retained contexts of a range of packed contexts ``low`` to before ``high``, with the suffixes of ``low``."""
+
+    def __init__(self, rows: pa.Table, low: int, high: int, depth: int):
+        self.low, self.high, self.depth, self.levels = low, high, depth, []
+        columns = {name: rows.column(name).to_numpy() for name in ("d", "context", "rest", "s", "p")}
+        for d in range(depth + 1):
+            own = columns["d"] == d
+            context, s = columns["context"][own].astype(np.uint64) << np.uint64(8), columns["s"][own].astype(np.uint64)
+            order = np.argsort(context | s)
+            contexts, first = np.unique(context[order], return_index=True)
+            self.levels.append((contexts, columns["rest"][own][order][first], (context | s)[order], columns["p"][own][order]))
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each sorted window of the range."""
+        out, open_ = np.zeros(len(keys)), np.arange(len(keys))
+        for d in range(self.depth, -1, -1):
+            contexts, rest, rows, p = self.levels[d]
+            if not len(contexts):
+                continue
+            own = keys[open_] & np.uint64(newest(d) << 8)
+            place = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+            here = contexts[place] == own
+            row = own[here] | (keys[open_[here]] & np.uint64(255))
+            at = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
+            seen = rows[at] == row
+            out[open_[here]] += np.where(seen, p[at], rest[place[here]])
+            done = np.zeros(len(open_), bool)
+            done[np.flatnonzero(here)[seen]] = True
+            open_ = open_[~done]
+        out[open_] -= np.log10(256)
+        return out
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """Sum over the symbols of each normalised text with its end sign, as far as their contexts lie in the range."""
+        keys = windows(texts, self.depth)
+        doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        if self.low > 0 or self.high <= newest(LONGEST):
+            mine = (keys >> np.uint64(8) >= np.uint64(self.low)) & (keys >> np.uint64(8) < np.uint64(self.high))
+            keys, doc = keys[mine], doc[mine]
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        values = self.log10(keys[first])[np.cumsum(first) - 1]
+        return np.bincount(doc[order], values, len(texts))
+
+
+def shard(rows: DataFrame, low: int, high: int, depth: int) -> Shard:
+    """Brings the rows of a range to the driver: about ``shard_rows`` of them, and those of at most ``depth`` suffixes."""
+    context = F.col("context")
+    wanted = (context >= low) & (context < high)
+    for d in range(depth + 1):
+        wanted |= (F.col("d") == d) & (context == low & newest(d))
+    return Shard(rows.where(wanted).toArrow(), low, high, depth)
+
+
+def ranges(rows: DataFrame, tree: Tree) -> list[tuple[int, int]]:
+    """Ranges of packed contexts that hold about ``shard_rows`` rows or fewer each; one range if all fit."""
+    parts, end = -(-rows.count() * 5 // (tree.shard_rows * 4)), newest(LONGEST) + 1
+    if rows.count() <= tree.shard_rows:
+        return [(0, end)]
+    cuts = [i / parts for i in range(1, parts)]
+    at = rows.select(F.percentile_approx("context", cuts, F.lit(parts * 20)).alias("at")).first().at
+    edges = sorted({0, *at, end})
+    return list(zip(edges, edges[1:]))
+
+
+class _Add:
+    """(row, score): what a shard adds to the score of each text."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            texts = [b" ".join(words(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(self.model.value.scores(texts))], names=["row", "score"])
 
 
 class _Score:
@@ -269,8 +312,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Learns from all rows whose fold of ``held_of`` is not 0, whole texts; counts of all their words are
-    exact up to equal 64-bit hashes. What is broadcast is bounded by ``Tree``; words that are too rare for
-    it are joined with their counts.
+    exact up to equal 64-bit hashes. What is broadcast at once is bounded by ``Tree``; words that are too rare for
+    it are joined with their counts, and a tree of several ranges scores staged texts range by range.
 
     Null text: empty, only the end is scored. Null id: held out. Repeated rows count and come back as
     often as they occur. No rows: no rows; nothing to learn from: each byte has one part in 256.
@@ -278,7 +321,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     context = docs.sparkSession.sparkContext
     held = fold(doc_id, held_of) == 0
     counts = count(docs.where(~held), text, tree.depth)
-    model = context.broadcast(automaton(counts, tree))
+    nodes = retained(counts, tree)
+    spans = ranges(nodes, tree)
+    model = context.broadcast(shard(nodes, *spans[0], tree.depth))
     vocabulary = counts.where("kind = 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
     total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(total * tree.frequent_part, 1)
@@ -288,6 +333,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(
         F.col(doc_id).alias("id"), held.alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")
     )
+    if len(spans) > 1:
+        rows = stage(rows, "texts")  # rows keep their numbers over the ranges
     kind = docs.schema[doc_id].dataType.simpleString()
     shape = f"id {kind}, held_out boolean, row long, n_tokens long, known_ long, base_ double, score double, rare array<struct<h:long,times:int>>"
     scored = stage(rows.mapInArrow(_Score(model, frequent, total, kinds), shape), "scored")
@@ -300,6 +347,14 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.sum(F.col("times") * (F.log10(F.col("c") + 0.1) - F.log10(F.lit(0.1)))).alias("base"),
         )
     )
+    parts = scored.select("row", "score")
+    for low, high in spans[1:]:
+        # one range at a time: its broadcast is done with once its sums are written
+        other = context.broadcast(shard(nodes, low, high, tree.depth))
+        parts = parts.union(stage(rows.select("row", "text").mapInArrow(_Add(other), "row long, score double"), "part"))
+        other.unpersist()
+    if len(spans) > 1:
+        scored = scored.drop("score").join(parts.groupBy("row").agg(F.sum("score").alias("score")), "row")
     zero = F.lit(0)
     return (
         scored.drop("rare")

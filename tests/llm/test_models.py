@@ -135,56 +135,65 @@ def test_base_columns(tricky, corpus, part):
 
 
 def brute_tree(texts, tree):
-    """Contexts by a dictionary, each text walked from its start."""
+    """Contexts by a dictionary, each symbol scored from its longest retained suffix."""
     d = tree.depth
     counts = [defaultdict(Counter) for _ in range(d + 1)]
-    total = 0
     for t in texts:
         s = b"\0" * d + t + b"\n"
-        total += len(t) + 1
         for i in range(d, len(s)):
             for k in range(d + 1):
                 counts[k][s[i - k : i]][s[i]] += 1
-    counts = [{c: n for c, n in level.items() if sum(n.values()) >= tree.min_part * total} for level in counts]
-    share, kept = {}, {b""}
-    for level in counts:
+    kept = {}
+
+    def probability(context, s):
+        while context and context not in kept:
+            context = context[1:]
+        n, size, kinds = kept[context]
+        return (n[s] + kinds * (probability(context[1:], s) if context else 1 / 256)) / (size + kinds)
+
+    for k, level in enumerate(counts):
         for c, n in level.items():
-            parent = (lambda s, c=c: share[c[1:]](s)) if c else (lambda s: 1 / 256)
             size, kinds = sum(n.values()), len(n)
-            share[c] = lambda s, n=n, size=size, kinds=kinds, parent=parent: (n[s] + kinds * parent(s)) / (size + kinds)
-            if c and sum(x * math.log(x / size / parent(s)) for s, x in n.items()) > tree.penalty * 0.5 * kinds * math.log(size):
-                kept.add(c)
-    for k in range(d, 0, -1):
-        for c in [c for c in kept if len(c) == k]:
-            kept |= {c[1:], c[:-1]}
+            if k == 0:
+                kept[c] = n, size, kinds
+            elif size >= tree.min_count:
+                gain = sum(x * math.log(x / size / probability(c[1:], s)) for s, x in n.items())
+                if gain > tree.penalty * 0.5 * kinds * math.log(size):
+                    kept[c] = n, size, kinds
 
     def score(t):
-        s, out = b"\0" * d + t + b"\n", 0.0
-        for i in range(d, len(s)):
-            k = next(k for k in range(d, -1, -1) if s[i - k : i] in kept)
-            out += math.log10(share[s[i - k : i]](s[i]))
-        return out
+        s = b"\0" * d + t + b"\n"
+        return sum(math.log10(probability(s[i - d : i], s[i])) for i in range(d, len(s)))
 
-    return score
+    return score, len(kept)
 
 
-def test_tree_scores(corpus):
-    tree = st.Tree(depth=3, min_part=0.002, penalty=0.5)
+@pytest.mark.parametrize("tree", [st.Tree(depth=3, min_count=20, penalty=0.5), st.Tree(min_count=4), st.Tree(min_count=4, shard_rows=900)])
+def test_tree_scores(corpus, tree):
     rows = corpus.collect()
     plain = {r.doc_id: b" ".join(r.text.encode().lower().split()) for r in rows}
-    score = brute_tree([t for i, t in plain.items() if not held(i, 10)], tree)
+    score, _ = brute_tree([t for i, t in plain.items() if not held(i, 10)], tree)
     got = st.score_documents(corpus, tree=tree).collect()
+    assert len(got) == len(rows)
     for r in got[:80]:
         assert r.score == pytest.approx(score(plain[r.doc_id]), rel=1e-4), r.doc_id
     tested = [r for r in got if r.held_out]
     assert sum(r.score for r in tested) > sum(r.base_score for r in tested)
 
 
-def test_pieces_do_not_matter(corpus):
-    tree = st.Tree(depth=4, min_part=0.001)
-    model = st.automaton(st.count(corpus, "text", 4), tree)
-    texts = [b" ".join(r.text.encode().lower().split()) for r in corpus.limit(20).collect()] + [b"", "日本語 text".encode()]
-    assert model.scores(texts, 7) == pytest.approx(model.scores(texts, 10_000), rel=1e-5)
+def test_ranges_bound_the_broadcast(corpus):
+    tree = st.Tree(min_count=4, shard_rows=900)
+    nodes = st.retained(st.count(corpus, "text", tree.depth), tree)
+    spans = st.ranges(nodes, tree)
+    sizes = [sum(len(rows) for _, _, rows, _ in st.shard(nodes, low, high, tree.depth).levels) for low, high in spans]
+    assert len(spans) > 2 and max(sizes) <= tree.shard_rows + tree.depth * 256
+    assert sum(sizes) >= nodes.count()
+
+
+def test_tree_grows_with_the_corpus(corpus):
+    """Contexts are tested by their own count, so more of the same kind of text brings more of them."""
+    contexts = [st.retained(st.count(corpus.where(f"doc_id < {n}"), "text", 7), st.Tree()).select("d", "context").distinct().count() for n in (75, 150, 300)]
+    assert contexts[0] < contexts[1] < contexts[2]
 
 
 def test_tree_edges(nothing, tricky):
