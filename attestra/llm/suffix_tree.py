@@ -106,7 +106,7 @@ class _Count:
                 counted[END] = counted.get(END, 0) + 1
                 held.append(b" ".join(own))
                 size += len(held[-1]) + 1
-            if size >= 4_000_000:
+            if size >= 2_000_000:
                 if symbols.add(windows(held, self.depth)):
                     yield symbols.rows(1)
                 held, size = [], 0
@@ -130,7 +130,8 @@ def _by_hash(counted: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 def count(docs: DataFrame, text: str, depth: int) -> DataFrame:
     """Staged counts of all words and windows of the texts."""
     counted = docs.select(text).mapInArrow(_Count(depth), "kind int, key long, n long")
-    return stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "symbols")
+    # tasks have summed what they could, so their rows move without a second try at it
+    return stage(counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n")), "symbols")
 
 
 def newest(length: int) -> int:
@@ -138,15 +139,70 @@ def newest(length: int) -> int:
     return ((1 << 8 * length) - 1) << 8 * (LONGEST - length)
 
 
+class _Contexts:
+    """(d, context, whole, next) of the contexts in windows that come sorted by context.
+
+    A context's windows are neighbours, so all but the first and the last context of a length are whole in the
+    piece at hand; the two may go on in other pieces and are given out as parts, whatever their counts.
+    """
+
+    def __init__(self, tree: Tree, piece: int = 400_000):
+        self.tree, self.piece = tree, piece
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= self.piece:
+                yield from self.levels(held)
+                held, size = [], 0
+        if size:
+            yield from self.levels(held)
+
+    def levels(self, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, counts = (np.concatenate(x) for x in zip(*held))
+        for d in range(self.tree.depth + 1):
+            rows = keys & np.uint64(newest(d) << 8 | 255)
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            n, rows = np.add.reduceat(counts[order], first), rows[first]
+            context = rows >> np.uint64(8)
+            start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            whole = np.ones(len(start), bool)
+            whole[[0, -1]] = False
+            chosen = ~whole | (np.add.reduceat(n, start) >= self.tree.min_count)
+            sizes = np.diff(np.r_[start, len(rows)])
+            mine, ends = np.repeat(chosen, sizes), np.r_[0, np.cumsum(sizes[chosen])].astype(np.int32)
+            following = pa.MapArray.from_arrays(pa.array(ends), pa.array((rows[mine] & np.uint64(255)).astype(np.int32)), pa.array(n[mine]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(ends) - 1, d, np.int32)),
+                    pa.array(context[start][chosen].view(np.int64)),
+                    pa.array(whole[chosen]),
+                    following,
+                ],
+                names=["d", "context", "whole", "next"],
+            )
+
+
 def candidates(counts: DataFrame, tree: Tree) -> DataFrame:
-    """(d, context, size, next) of every context of ``d`` bytes that occurs ``min_count`` times; next: counts by symbol, at most 256."""
-    symbols = counts.where("kind = 1").select(F.shiftrightunsigned("key", 8).alias("whole"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n")
-    suffixes = F.array(
-        *[F.struct(F.lit(d).alias("d"), F.col("whole").bitwiseAND(F.lit(newest(d)).cast("long")).alias("context")) for d in range(tree.depth + 1)]
-    )
-    nexts = symbols.select(F.explode(suffixes).alias("c"), "s", "n").groupBy("c", "s").agg(F.sum("n").alias("n"))
-    contexts = nexts.groupBy("c").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("next"))
-    return contexts.where((F.col("size") >= tree.min_count) | (F.col("c.d") == 0)).select("c.d", "c.context", "size", "next")
+    """(d, context, size, next) of every context of ``d`` bytes that occurs ``min_count`` times; next: counts by symbol, at most 256.
+
+    Windows are sorted over ranges of contexts. The contexts of all lengths fall out of one pass over them; only those
+    at the ends of a piece are summed again.
+    """
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    context = F.shiftrightunsigned("key", 8)
+    placed = counts.where("kind = 1").select("key", "n").repartitionByRange(tasks, context, "key").sortWithinPartitions(context)
+    found = stage(placed.mapInArrow(_Contexts(tree), "d int, context long, whole boolean, next map<int,long>"), "levels")
+    parts = found.where("NOT whole").select("d", "context", F.explode("next").alias("s", "n"))
+    parts = parts.groupBy("d", "context", "s").agg(F.sum("n").alias("n"))
+    parts = parts.groupBy("d", "context").agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("next"))
+    rows = found.where("whole").select("d", "context", "next").union(parts)
+    size = F.aggregate(F.map_values("next"), F.lit(0).cast("long"), lambda a, n: a + n)
+    return rows.withColumn("size", size).where((F.col("size") >= tree.min_count) | (F.col("d") == 0))
 
 
 def retained(counts: DataFrame, tree: Tree) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,26 @@ def test_ranges_bound_the_broadcast(corpus):
     assert sum(sizes) >= nodes.count()
 
 
+@pytest.mark.parametrize("piece", [50, 400_000])
+def test_contexts_of_pieces(corpus, piece):
+    counts = st.count(corpus, "text", 3)
+    rows = [(r.key & (2**64 - 1), r.n) for r in counts.where("kind = 1").collect()]
+    want = [defaultdict(Counter) for _ in range(4)]
+    for key, n in rows:
+        for d in range(4):
+            want[d][key >> 8 & st.newest(d)][key & 255] += n
+    mapper, got = st._Contexts(st.Tree(depth=3, min_count=5), piece), [defaultdict(Counter) for _ in range(4)]
+    rows.sort(key=lambda r: r[0] >> 8)
+    pieces = [pa.RecordBatch.from_pydict({"key": np.array([k for k, _ in part], np.uint64).view(np.int64), "n": [n for _, n in part]}) for part in (rows[i : i + 40] for i in range(0, len(rows), 40))]
+    for batch in mapper(iter(pieces)):
+        for r in batch.to_pylist():
+            assert not r["whole"] or dict(r["next"]) == want[r["d"]][r["context"]]
+            got[r["d"]][r["context"]].update(dict(r["next"]))
+    for d in range(4):
+        big = {c for c, n in want[d].items() if sum(n.values()) >= 5}
+        assert all(got[d][c] == want[d][c] for c in big)
+
+
 def test_tree_grows_with_the_corpus(corpus):
     """Contexts are tested by their own count, so more of the same kind of text brings more of them."""
     contexts = [st.retained(st.count(corpus.where(f"doc_id < {n}"), "text", 7), st.Tree()).select("d", "context").distinct().count() for n in (75, 150, 300)]
