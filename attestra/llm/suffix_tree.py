@@ -39,7 +39,7 @@ class Tree:
     their counts, so at most 1 / ``frequent_part`` of them; the others are joined.
     """
 
-    depth: int = 7
+    depth: int = 6
     min_count: int = 16
     penalty: float = 1.0
     shard_rows: int = 4_000_000

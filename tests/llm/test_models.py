@@ -169,7 +169,7 @@ def brute_tree(texts, tree):
     return score, len(kept)
 
 
-@pytest.mark.parametrize("tree", [st.Tree(depth=3, min_count=20, penalty=0.5), st.Tree(min_count=4), st.Tree(min_count=4, shard_rows=900)])
+@pytest.mark.parametrize("tree", [st.Tree(depth=3, min_count=20, penalty=0.5), st.Tree(depth=7, min_count=4), st.Tree(depth=7, min_count=4, shard_rows=900)])
 def test_tree_scores(corpus, tree):
     rows = corpus.collect()
     plain = {r.doc_id: b" ".join(r.text.encode().lower().split()) for r in rows}
@@ -183,7 +183,7 @@ def test_tree_scores(corpus, tree):
 
 
 def test_ranges_bound_the_broadcast(corpus):
-    tree = st.Tree(min_count=4, shard_rows=900)
+    tree = st.Tree(depth=7, min_count=4, shard_rows=900)
     nodes = st.retained(st.count(corpus, "text", tree.depth), tree)
     spans = st.ranges(nodes, tree)
     sizes = [sum(len(rows) for _, _, rows, _ in st.shard(nodes, low, high, tree.depth).levels) for low, high in spans]
@@ -213,7 +213,7 @@ def test_contexts_of_pieces(corpus, piece):
 
 def test_tree_grows_with_the_corpus(corpus):
     """Contexts are tested by their own count, so more of the same kind of text brings more of them."""
-    contexts = [st.retained(st.count(corpus.where(f"doc_id < {n}"), "text", 7), st.Tree()).select("d", "context").distinct().count() for n in (75, 150, 300)]
+    contexts = [st.retained(st.count(corpus.where(f"doc_id < {n}"), "text", 7), st.Tree(depth=7)).select("d", "context").distinct().count() for n in (75, 150, 300)]
     assert contexts[0] < contexts[1] < contexts[2]
 
 
