@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..config import Config
 from ..functions import text as tx
 from ..functions.rounding import exact_round
-from ..session import fits, keep, stage
+from ..session import fits, stage, staging_dir, staging_scope
 from . import index as ix
+from . import score as sc
 
 
 def route(questions: DataFrame) -> DataFrame:
@@ -36,26 +42,19 @@ def query_terms(questions: DataFrame, cfg: Config) -> DataFrame:
     return terms.groupBy("qid", "wanted", "term").agg(F.count("*").alias("qtf"))
 
 
-def _figures(
-    passages: DataFrame, index: ix.Index | None, wanted: set[str]
-) -> dict[str, tuple[int, float]]:
-    """(n, avgdl) of each non-empty pool; at most four language groups come to the driver.
+def _used_groups(passages: DataFrame, index: ix.Index | None, wanted: set[str]) -> list[str]:
+    """Language groups of the wanted pools, all groups when one of these pools has no passages."""
+    if index:
+        sizes = {r.lang_group: r.n for r in index.stats.collect()}
+    else:
+        grouped = passages.groupBy(ix.language_group(F.col("lang")).alias("lang_group"))
+        sizes = {r.lang_group: r.n for r in grouped.agg(F.count("*").alias("n")).collect()}
+    empty = any(not sum(sizes.get(g, 0) for g in ix.POOLS[pool]) for pool in wanted)
+    return sorted({g for pool in (ix.POOLS if empty else wanted) for g in ix.POOLS[pool]})
 
-    Only the groups of the wanted pools are analysed, the others when a wanted pool is empty.
-    """
-    groups: dict[str, tuple[int, int]] = {}
-
-    def load(names: set[str]) -> None:
-        todo = sorted(names - set(groups))
-        if not todo:
-            return
-        stats = index.stats if index else ix.group_stats(ix.analyse(ix.in_groups(passages, todo)))
-        groups.update({g: (0, 0) for g in todo})
-        groups.update({r.lang_group: (r.n, r.total_len) for r in stats.collect()})
-
-    load({g for pool in wanted for g in ix.POOLS[pool]})
-    if any(sum(groups[g][0] for g in ix.POOLS[pool]) == 0 for pool in wanted):
-        load(set(ix.POOLS["all"]))
+
+def _figures(groups: dict[str, tuple[int, int]]) -> dict[str, tuple[int, float]]:
+    """(n, avgdl) of each non-empty pool from (n, total length) of the language groups."""
     figures = {}
     for pool, members in ix.POOLS.items():
         n = sum(groups.get(g, (0, 0))[0] for g in members)
@@ -101,38 +100,111 @@ def rank(
     ``questions`` needs ``qid, question``; ``passages`` needs ``pos, text, lang`` (``title``
     optional). Passages without any matching term score zero and fill up short lists.
 
-    The ranking runs here and its small result is staged. Without an ``index`` the postings of the
-    query terms are kept on the executors meanwhile: document frequencies and scores both read
-    them, and they stay placed by passage, so scoring needs no shuffle until each task has reduced
-    its passages to the best ``top_k`` per question.
+    The ranking runs here and its small result is staged. Without an ``index`` passages and questions meet
+    in blocks (see ``score``), in as many rounds of questions as ``Config.broadcast_max_rows`` asks for.
     """
     staged = stage(query_terms(questions, cfg), "query-terms")
     # at most five pools
     profile = staged.groupBy("wanted").agg(F.count("*").alias("n")).collect()
     wanted = {r.wanted for r in profile}
-    figures = _figures(passages, index, wanted)
-    used = {pool if pool in figures else "all" for pool in wanted}
-    groups = sorted({g for pool in used for g in ix.POOLS[pool]})
-    # every table broadcast below has at most four rows (language groups) per query term
-    small = sum(r.n for r in profile) * 4 <= cfg.broadcast_max_rows
-    hint = F.broadcast if small else (lambda df: df)
-
-    pool = F.when(F.col("wanted").isin(*used), F.col("wanted")).otherwise(F.lit("all"))
-    asked = staged.select("qid", pool.alias("pool"), "term", "qtf")
-    terms = asked.where("term IS NOT NULL")
+    groups = _used_groups(passages, index, wanted)
     if index is None:
-        vocabulary = None
-        if small:
-            per_group = terms.select(F.explode(ix.pool_groups(F.col("pool"))).alias("lang_group"), "term")
-            vocabulary = hint(per_group.distinct())
-        chosen = ix.prepare(ix.in_groups(passages, groups))
-        entries = keep(ix.postings(chosen, vocabulary))
-        term_df = ix.document_frequency(entries)
+        best, used = _scored_in_rounds(staged, ix.in_groups(passages, groups), wanted, sum(r.n for r in profile), cfg)
     else:
-        entries, term_df = index.postings, index.term_df
+        best, used = _scored_by_index(staged, index, groups, wanted, sum(r.n for r in profile), cfg)
+    firsts = _first_passages(passages, used, 2 * cfg.top_k - 1)
+    asked = staged.where("term IS NULL").select("qid", _pool_of(used).alias("pool"))
+    return stage(_fill(_best(best, cfg.top_k), asked, firsts, cfg.top_k), "ranked")
+
+
+def _pool_of(used: set[str]) -> Column:
+    return F.when(F.col("wanted").isin(*used), F.col("wanted")).otherwise(F.lit("all"))
 
+
+def _scored_in_rounds(
+    staged: DataFrame, passages: DataFrame, wanted: set[str], rows: int, cfg: Config
+) -> tuple[DataFrame, set[str]]:
+    """(qid, pos, score) with the best ``top_k`` of each question and task, and the pools in use.
+
+    A round has so many questions that four rows (language groups) per query term are at most
+    ``broadcast_max_rows``; these come to the driver and are broadcast. With one round each passage is
+    tokenised once and only its terms that are asked for are staged; with more, its words are staged before.
+    """
+    spark = staged.sparkSession
+    terms = staged.where("term IS NOT NULL AND qid IS NOT NULL")
+    rounds = max(1, min(-(-rows * 4 // max(1, cfg.broadcast_max_rows)), rows))
+    fields = F.struct("lang_group", F.col("doc_len").cast("int").alias("doc_len"), "words")
+    words = ix.analyse(passages).groupBy(F.col("pos").cast("bigint").alias("pos")).agg(F.collect_list(fields).alias("parts"))
+    path = f"{staging_dir(spark)}/scored-{uuid.uuid4().hex}"
+    used: set[str] = set()
+    with staging_scope(spark):
+        if rounds > 1:
+            words = stage(words, "words")
+        for i in range(rounds):
+            with staging_scope(spark):
+                mine = F.pmod(F.xxhash64("qid"), F.lit(rounds)) == i
+                used |= _score_round(terms.where(mine), words, wanted, path, cfg)
+    schema = StructType([staged.schema["qid"], StructField("pos", LongType()), StructField("score", DoubleType())])
+    return spark.read.schema(schema).parquet(path), used
+
+
+def _score_round(terms: DataFrame, words: DataFrame, wanted: set[str], path: str, cfg: Config) -> set[str]:
+    """Append the best passages of the questions of a round to ``path``; returns the pools in use."""
+    context = terms.sparkSession.sparkContext
+    asked = terms.select("qid", "wanted", "term", "qtf").toArrow().combine_chunks()
+    term = asked["term"].combine_chunks().dictionary_encode()
+    vocabulary = context.broadcast({t: i for i, t in enumerate(term.dictionary.to_pylist())})
+    packed = stage(words.mapInArrow(sc.pack(vocabulary), sc.PACKED), "packed")
+    counted = packed.mapInArrow(sc.count_terms, sc.COUNTED).groupBy("lang_group", "term")
+    table = counted.agg(F.sum("df").alias("df"), F.sum("total_len").alias("total_len")).toArrow()
+    counts = {k: table[k].to_numpy() for k in table.column_names}
+    whole = counts["term"] == -1
+    groups = {g: (int(n), int(t)) for g, n, t in zip(*(counts[k][whole] for k in ("lang_group", "df", "total_len")), strict=True)}
+    figures = _figures(groups)
+    used = {pool if pool in figures else "all" for pool in wanted}
+
+    names = sorted(used)
+    df = np.zeros((len(names), max(1, len(term.dictionary))))
+    for i, pool in enumerate(names):
+        inside = ~whole & np.isin(counts["lang_group"], ix.POOLS[pool])
+        np.add.at(df[i], counts["term"][inside], counts["df"][inside])
+    own = asked["wanted"].to_pylist()
+    pool = np.array([names.index(w if w in used else "all") for w in own], np.int64)
+    number = term.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    qids = asked["qid"].combine_chunks().dictionary_encode()
+    question = qids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    found = df[pool, number] if len(number) else np.zeros(0)
+    n = np.array([figures.get(p, (0, 1.0))[0] for p in names], float)[pool]
+    weight = asked["qtf"].to_numpy() * np.log(1.0 + (n - found + 0.5) / (found + 0.5))
+    known = found > 0
+    todo = sc.blocks(
+        question[known], pool[known], number[known], weight[known], (found / np.maximum(n, 1.0))[known],
+        [(ix.POOLS[p], figures.get(p, (0, 1.0))[1]) for p in names],
+    )
+    sent = context.broadcast(todo)
+    scored = packed.mapInArrow(sc.score(sent, cfg.top_k, cfg.k1, cfg.b), sc.SCORED)
+    numbered = pa.table({"question": pa.array(np.arange(len(qids.dictionary), dtype=np.int32)), "qid": qids.dictionary})
+    key = terms.sparkSession.createDataFrame(numbered, StructType([StructField("question", IntegerType()), terms.schema["qid"]]))
+    best = scored.join(F.broadcast(key), "question").select("qid", "pos", "score")
+    best.write.mode("append").parquet(path)
+    sent.unpersist()
+    vocabulary.unpersist()
+    return used
+
+
+def _scored_by_index(
+    staged: DataFrame, index: ix.Index, groups: list[str], wanted: set[str], rows: int, cfg: Config
+) -> tuple[DataFrame, set[str]]:
+    """(qid, pos, score) of all passages that match, and the pools in use, from the tables of an index."""
+    stats = {r.lang_group: (r.n, r.total_len) for r in index.stats.where(F.col("lang_group").isin(groups)).collect()}
+    figures = _figures(stats)
+    used = {pool if pool in figures else "all" for pool in wanted}
+    # every table broadcast below has at most four rows (language groups) per query term
+    small = rows * 4 <= cfg.broadcast_max_rows
+    hint = F.broadcast if small else (lambda df: df)
+    terms = staged.where("term IS NOT NULL").select("qid", _pool_of(used).alias("pool"), "term", "qtf")
     # only terms that some question has are expanded to pools and summed
-    term_df = term_df.join(hint(terms.select("term").distinct()), "term", "left_semi")
+    term_df = index.term_df.join(hint(terms.select("term").distinct()), "term", "left_semi")
     pooled_df = ix.expand_pools(term_df).groupBy("pool", "term").agg(F.sum("df").alias("df"))
     n = _lookup(F.col("pool"), {k: F.lit(v[0]) for k, v in figures.items()}, F.lit(0))
     avgdl = _lookup(F.col("pool"), {k: F.lit(v[1]) for k, v in figures.items()}, F.lit(1.0))
@@ -148,23 +220,16 @@ def rank(
         )
     )
     if small:
-        matches = entries.join(F.broadcast(weights), ["lang_group", "term"])
+        matches = index.postings.join(F.broadcast(weights), ["lang_group", "term"])
     else:
         # too many query terms for a broadcast: copies of them go to blocks of passages, which
         # also splits the passages of a frequent term over that many tasks
         blocks = F.explode(F.sequence(F.lit(0), F.lit(cfg.salt_blocks - 1)))
         block = F.pmod(F.hash("pos"), F.lit(cfg.salt_blocks))
-        matches = entries.withColumn("block", block).join(
+        matches = index.postings.withColumn("block", block).join(
             weights.withColumn("block", blocks), ["block", "lang_group", "term"]
         )
-    scored = matches.groupBy("pos", "qid").agg(F.sum(_term_score(cfg)).alias("score"))
-    firsts = _first_passages(passages, used, 2 * cfg.top_k - 1)
-    ranked = _fill(_best(scored, cfg.top_k), asked.where("term IS NULL"), firsts, cfg.top_k)
-    try:
-        return stage(ranked, "ranked")
-    finally:
-        if index is None:
-            entries.unpersist()
+    return matches.groupBy("pos", "qid").agg(F.sum(_term_score(cfg)).alias("score")), used
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:

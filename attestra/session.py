@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,21 +72,6 @@ def broadcast_if_fits(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist ``df`` with its partitioning, so that later work by the same key needs no shuffle.
-
-    An adaptive plan does not tell how its cached rows will be placed, so this one is planned
-    without adaptive execution.
-    """
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    finally:
-        conf.set("spark.sql.adaptive.enabled", before)
-
-
 def balanced(df: DataFrame, key: str) -> DataFrame:
     """Spread a plain scan that has fewer splits than shuffle partitions; leave others alone.
 

@@ -1,6 +1,7 @@
 """Ranking against BM25 written out in plain Python on a pack of its own."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -48,3 +49,29 @@ def test_scores_equal_the_formula(spark, k1, b):
             got = sorted(found[qid])
             assert [p for _, p, _ in got] == best
             assert [s for *_, s in got] == pytest.approx([scores[p] for p in best])
+
+
+def test_rounds_and_repeated_passages_equal_the_index(spark):
+    """Several rounds of questions, blocks of passages, positions that come twice and terms that few or all share."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(WORDS) if rng.random() < 0.7 else f"rare{rng.randint(0, 300)}"
+    rows = [(i, str(i), " ".join(word() for _ in range(rng.randint(0, 30))), rng.choice(["en", "en", "hi", "fr"])) for i in range(1300)]
+    pack = spark.createDataFrame(rows + rows[:40] + [(7, "7", "a lamp of copper", "hi")], "pos long, id string, text string, lang string")
+    asked = [(i, " ".join(word() for _ in range(6))) for i in range(30)] + [(3, "lamp"), (30, "the of"), (None, "river")]
+    asked = spark.createDataFrame(asked, "qid long, question string")
+    index = Index.build(pack.coalesce(1))
+    for cfg in (Config(), Config(broadcast_max_rows=1500), Config(filter_language=False, top_k=7)):
+        rows_of = lambda index: sorted(map(repr, rank(asked, pack.coalesce(2), cfg, index).withColumn("score", F.round("score", 8)).collect()))  # noqa: E731, B023
+        assert rows_of(None) == rows_of(index)
+
+
+def test_scores_leave_tasks_as_best_of_questions(spark):
+    """A word that all passages and questions share makes no row per question and passage."""
+    pack = spark.range(2000).selectExpr("id AS pos", "'common lamp' AS text", "'en' AS lang").coalesce(2)
+    asked = spark.range(50).selectExpr("id AS qid", "'common' AS question")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    assert rank(asked, pack).count() == 150
+    scored = [x for x in os.listdir(folder) if x.startswith("scored-") and x not in before]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(scored) == 1 and spark.read.parquet(f"{folder}/{scored[0]}").count() <= tasks * 50 * 3
