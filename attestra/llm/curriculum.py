@@ -86,13 +86,14 @@ def plan_mix(
     A source's documents follow each other in the order of an MD5 of their id; passes over them are cut
     at the source's target, rounded to whole words, so the last document of the last pass may give only
     its first words. ``start`` is the number of words of the source before the document, ``taken1`` and
-    ``taken2`` are what the passes take. Texts are only measured: what is sorted are ids and sizes.
+    ``taken2`` are what the passes take. Texts are measured once and staged as sizes: what is sorted are ids and sizes.
 
     Null text: size 0, nothing taken. Null source: a source of its own, last in order. Null id: ordered
     as an empty id. Repeated rows are separate documents. No rows: no rows.
     """
-    sized = docs.select(
-        F.col(doc_id).alias("id_"), F.col(source).alias("source_"), *carry, F.size(words_of(text)).cast("long").alias("size")
+    sized = stage(
+        docs.select(F.col(doc_id).alias("id_"), F.col(source).alias("source_"), *carry, F.size(words_of(text)).cast("long").alias("size")),
+        "sizes",
     )
     order = [F.md5(F.coalesce(F.col("id_").cast("string"), F.lit(""))), F.col("id_"), F.col("size"), *map(F.col, carry)]
     placed = stage(running(sized, "size", "start", order, group="source_"), "placed")
@@ -110,12 +111,6 @@ def plan_mix(
     )
 
 
-def first_time(planned: DataFrame) -> Column:
-    """Training time of the first pass over a document; null if nothing of it is taken."""
-    part = (F.col("start") + F.col("taken1") / 2) / F.greatest(F.round("target"), F.lit(1.0))
-    return F.when(F.col("taken1") > 0, time_of(F.least(part, F.lit(1.0)), F.col("ramp")))
-
-
 def schedule(planned: DataFrame) -> DataFrame:
     """A row per pass over a taken document, with ``pass_no``, ``words_taken`` and ``train_time``."""
     passes = F.array(
@@ -133,6 +128,39 @@ def schedule(planned: DataFrame) -> DataFrame:
     ).drop("pass_")
 
 
+def training_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``position`` to the passes of ``schedule``: words of the mix before a pass, in the order of training time.
+
+    Passes are range-sorted by time; passes of one time go by ``keys``, then by pass and words.
+    """
+    order = [F.col("train_time"), *map(F.col, keys), F.col("pass_no"), F.col("words_taken")]
+    return running(rows.select(*keys, "pass_no", "words_taken", "train_time"), "words_taken", "position", order)
+
+
+def mixed(planned: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The documents of a plan as the mix gives them: taken, first_time and position of their passes, in training order.
+
+    ``taken`` sums the passes, ``first_time`` and ``position`` are those of the first one (null without a
+    pass). Documents without a pass come last. Rows meet their passes by source and ``start``, which no two rows with words share.
+    """
+    # a stand-in for the source that is never null
+    name = clear_of("name_", planned.columns)
+    named = planned.withColumn(name, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
+    keys = [name, "start"]
+    placed = training_order(schedule(named), keys)
+    given = placed.groupBy(*keys).agg(
+        F.sum("words_taken").alias("taken_"), F.min("train_time").alias("first_time"), F.min("position").alias("position")
+    )
+    # documents without words may share their start with the one after them
+    marked = named.drop("taken").withColumn("given_", F.col("size") > 0)
+    joined = marked.join(given.withColumn("given_", F.lit(True)), [*keys, "given_"], "left")
+    taken = F.coalesce("taken_", F.lit(0).cast("long")).alias("taken")
+    tasks = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = joined.select(*[c for c in planned.columns if c != "taken"], taken, "first_time", "position")
+    last = F.col("position").asc_nulls_last()
+    return rows.repartitionByRange(tasks, last, F.col(doc_id)).sortWithinPartitions(last, doc_id)
+
+
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", mix: Mix = Mix()) -> DataFrame:
     """The mix in training order: a row per pass over a taken document.
 
@@ -148,8 +176,7 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source
     keys = [clear_of("row_a_", names), clear_of("row_b_", names)]
     marked = docs.withColumns({k: F.xxhash64(F.lit(i), *names) for i, k in enumerate(keys)})
     rows = schedule(plan_mix(marked, doc_id, source, text, mix, carry=tuple(keys)))
-    order = [F.col("train_time"), *map(F.col, keys), F.col("pass_no"), F.col("words_taken")]
-    placed = running(rows.select(*keys, "pass_no", "words_taken", "train_time"), "words_taken", "position", order)
+    placed = training_order(rows, keys)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unlike = marked.groupBy(*keys).agg(*[F.first(c).alias(c) for c in names])
     joined = unlike.join(placed, keys).select(*names, *added)

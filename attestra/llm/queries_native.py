@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
-from .curriculum import first_time, plan_mix
+from .common import read_table, stage
+from .curriculum import mixed, plan_mix
 from .host_rules import MEASURES, judge
 
 
@@ -16,9 +16,9 @@ def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = plan_mix(read_table(spark, sf_dir, "documents"))
-    time = F.round(first_time(planned), 6).alias("first_time")
-    return planned.select("doc_id", "size", "source_size", "target", "taken", time)
+    """Documents in training order: the rows are sorted by the position of their first pass."""
+    rows = mixed(stage(plan_mix(read_table(spark, sf_dir, "documents")), "planned"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.round("first_time", 6).alias("first_time"))
 
 
 _BLANK = r"[\x20\x09-\x0D]"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.llm.common import running
-from attestra.llm.curriculum import Mix, mix_documents, plan_mix
+from attestra.llm.curriculum import Mix, mix_documents, mixed, plan_mix
 from attestra.llm.host_rules import HostRules, judge, keep_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,3 +131,21 @@ def test_training_order(corpus, nothing):
     for r in rows:
         half[r.source, r.train_time < 0.5] += r.words_taken
     assert half["src0", True] > 1.3 * half["src0", False] and half["src1", False] > 1.3 * half["src1", True]
+
+
+def test_documents_in_training_order(spark, corpus, nothing, tricky):
+    """A document's passes add up, and rows follow the position of their first pass, as ``mix_documents`` has it."""
+    assert mixed(plan_mix(nothing)).count() == 0
+    rows = mixed(plan_mix(corpus.union(corpus.limit(20)))).collect()
+    assert len(rows) == corpus.count() + 20
+    taken = [r for r in rows if r.taken]
+    assert all((r.position is None) == (r.taken == 0) and (r.first_time is None) == (r.taken == 0) for r in rows)
+    assert [r.position for r in rows] == sorted((r.position for r in taken)) + [None] * (len(rows) - len(taken))
+    assert all(r.taken == r.taken1 + r.taken2 for r in rows)
+    assert sorted(repr((r.doc_id, r.size, r.taken)) for r in mixed(plan_mix(tricky)).collect()) == sorted(
+        repr((r.doc_id, r.size, r.taken)) for r in plan_mix(tricky).collect()
+    )
+    single, first = mixed(plan_mix(corpus)).collect(), {}
+    for r in mix_documents(corpus).collect():
+        first[r.doc_id] = min(first.get(r.doc_id, (9.0, 0)), (r.train_time, r.words_taken))
+    assert {r.doc_id: r.first_time for r in single if r.taken} == pytest.approx({i: t for i, (t, _) in first.items()})
