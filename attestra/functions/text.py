@@ -144,10 +144,14 @@ def bare_number(number: Column) -> Column:
 
 
 def devanagari_ratio(text: Column) -> Column:
-    """Share of Devanagari-block characters among Devanagari and alphabetic ones; 0.0 if none."""
+    """Share of Devanagari-block characters among Devanagari and alphabetic ones; 0.0 if none.
+
+    Text without a Devanagari character is not counted: its share is 0.
+    """
     deva = F.length(F.regexp_replace(text, "[^\u0900-\u097f]+", ""))
     alpha = F.length(F.regexp_replace(text, "[^\\p{L}\u0900-\u097f]+", ""))
-    return F.coalesce(F.try_divide(deva, alpha), F.lit(0.0))
+    share = F.coalesce(F.try_divide(deva, alpha), F.lit(0.0))
+    return F.when(~text.rlike("[\u0900-\u097f]"), F.lit(0.0)).otherwise(share)
 
 
 def word_array(words: list[str]) -> Column:
