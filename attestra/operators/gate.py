@@ -71,9 +71,14 @@ def cited_text(sources: Column, retrieved: Column) -> Column:
 def ungrounded_numbers(answer: Column, cited: Column) -> Column:
     """Numbers of the answer that the cited text lacks, in order, duplicates kept."""
     known = F.transform(tx.extract_numbers(cited), tx.bare_number)
-    return F.filter(
-        tx.extract_numbers(answer), lambda n: ~F.array_contains(known, tx.bare_number(n))
+    # bound once: within the filter, the cited text would be read again for each number of the answer
+    loose = F.transform(
+        F.array(known),
+        lambda found: F.filter(
+            tx.extract_numbers(answer), lambda n: ~F.array_contains(found, tx.bare_number(n))
+        ),
     )
+    return F.get(loose, F.lit(0))
 
 
 def content_words(text: Column) -> Column:

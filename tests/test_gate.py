@@ -193,3 +193,12 @@ def test_quoted_lists(spark):
     for items in (["a", "b"], ["it's", 'say "x"'], ["both ' and \"", "back\\slash"], []):
         df = spark.createDataFrame([(items,)], "v array<string>")
         assert df.select(quoted_list(F.col("v")).alias("q")).first().q == str(items)
+
+
+def test_known_numbers_are_read_once(spark):
+    """The numbers of the cited text are bound outside of the filter, which would read the text again for each number."""
+    rows = spark.createDataFrame([("7 and 8, 9%", "8 of 9"), ("5", None), (None, "5")], "a string, c string")
+    loose = rows.select(gate.ungrounded_numbers(F.col("a"), F.col("c")).alias("loose"))
+    assert [r.loose for r in loose.collect()] == [["7"], ["5"], []]
+    plan = loose._jdf.queryExecution().analyzed().toString()
+    assert "array_contains(lambda" in plan and "array_contains(transform" not in plan
