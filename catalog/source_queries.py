@@ -62,7 +62,9 @@ def file_order(spark, sf_dir):
     """Documents in files of different sizes, sorted by id over the files, read back with their line numbers."""
     docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text")
     path = _folder(spark, "pack")
-    files_of = F.floor(F.log2(F.col("doc_id") + 1)).cast("int")
+    # files double in size up to 2^14 ids: a task writes one of these, not half of all documents
+    number = F.col("doc_id") + 1
+    files_of = F.when(number > 0, F.least(F.floor(F.log2(number)), F.lit(14)) + F.floor(number / 2**14))
     docs.withColumn("part", files_of).repartitionByRange("part").sortWithinPartitions("part", "doc_id").select("id", "text").write.json(path)
     rows = files.read_jsonl(spark, path, "id string, text string")
     return rows.select("pos", "id", F.md5("text").alias("text_md5"))
@@ -152,9 +154,11 @@ def active_providers(spark, sf_dir):
 def danda_words(spark, sf_dir):
     """Texts in Devanagari letters whose sentences end in a danda: it is no part of a word."""
     docs = inputs.table(spark, sf_dir, "documents")
-    text = F.translate(inputs.deva(F.col("text")), ".,", "।॥")
-    tokens = tx.tokenize(text, lang="hi")
-    return docs.select("doc_id", F.size(tokens).alias("n"), F.exists(tokens, lambda t: t.rlike("[।॥]")).alias("with_danda"))
+    # a step each, as text and tokens are used more than once
+    texts = docs.select("doc_id", F.translate(inputs.deva(F.col("text")), ".,", "।॥").alias("text"))
+    tokens = texts.select("doc_id", tx.tokenize(F.col("text"), lang="hi").alias("tokens"))
+    danda = F.exists("tokens", lambda t: F.contains(t, F.lit("।")) | F.contains(t, F.lit("॥")))
+    return tokens.select("doc_id", F.size("tokens").alias("n"), danda.alias("with_danda"))
 
 
 _DOCS = "SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, md5(text) AS text_md5, lang FROM documents"

@@ -1,11 +1,14 @@
 """File sources and the registered queries' contract."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from attestra.functions import records as rc
 from attestra.sources import files
+from catalog import source_queries
 
 ROW = '{"id": "T1", "topic_id": "T", "title": "t", "text": "x", "lang": "en", "source_url": ""}'
 
@@ -70,3 +73,24 @@ def test_missing_model_is_an_error(spark):
 def test_registered_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 60
+
+
+def test_file_order_writes_bounded_files(spark, tmp_path):
+    """No file holds half of all documents, and positions still follow the ids."""
+    text = "concat_ws(' ', transform(sequence(1, 8), i -> sha2(concat(id, '-', i), 256))) AS text"
+    docs = spark.range(65_000).selectExpr("id AS doc_id", text)
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    rows = source_queries.file_order(spark, str(tmp_path))
+    assert rows.where("pos <> CAST(id AS BIGINT)").count() == 0 and rows.count() == 65_000
+    (pack,) = [x for x in os.listdir(folder) if x not in before and x.startswith("pack")]
+    sizes = [r["count"] for r in spark.read.text(f"{folder}/{pack}").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 65_000 and max(sizes) < 20_000
+
+
+def test_danda_words_tokenises_once(spark, tmp_path):
+    spark.createDataFrame([(1, "one two. three"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = source_queries.danda_words(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.n, r.with_danda) for r in found.collect()) == [(1, 3, False), (2, 0, False)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
