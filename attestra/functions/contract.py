@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
-from .text import strip_space
+from .text import bound, strip_space
 
 # fixed values: the three contract fields
 FIELDS = ("answer", "sources", "refuse")
@@ -96,11 +96,17 @@ def judge_messages(question: Column, passages: Column, answer: Column) -> Column
 # ---- JSON contract ------------------------------------------------------------------------
 def json_slice(raw: Column) -> Column:
     """The part of an output to parse: outer fence removed, first '{' to last '}'."""
-    text = strip_space(raw)
     fence = rf"(?s)\A```(?:json)?{lx.SPACE}*(.*?){lx.SPACE}*```(?=\n|\z)"
-    inner = F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text)
-    braces = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
-    return F.when(braces != "", braces).otherwise(inner)
+
+    def unfenced(text: Column) -> Column:
+        fenced = F.startswith(text, F.lit("```")) & text.rlike(fence)
+        return F.when(fenced, F.regexp_extract(text, fence, 1)).otherwise(text)
+
+    def braced(text: Column) -> Column:
+        braces = F.regexp_extract(text, r"(?s)\A[^{]*+(\{.*\})", 1)
+        return bound(braces, lambda found: F.when(found != "", found).otherwise(text))
+
+    return bound(bound(strip_space(raw), unfenced), braced)
 
 
 def parse_object(raw: Column) -> Column:

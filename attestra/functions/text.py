@@ -6,15 +6,26 @@ where possible: inputs are used more than once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def strip_space(text: Column) -> Column:
     """Trim all Unicode whitespace (``F.trim`` removes spaces only)."""
-    return F.regexp_replace(text, rf"^{lx.SPACE}+|{lx.SPACE}+\z", "")
+    return F.btrim(text, F.lit(lx.SPACES))
 
 
 def strip_zero_width(text: Column) -> Column:
@@ -48,7 +59,8 @@ def normalize_text(text: Column) -> Column:
     cleaned = F.translate(composed, lx.DEVANAGARI_DIGITS + lx.ZERO_WIDTH, lx.ASCII_DIGITS)
     # only the soft hyphen can occur below U+0300
     return (
-        F.when(text.rlike(r"[^\x00-\u02ff]"), cleaned)
+        F.when(is_ascii(text), text)
+        .when(text.rlike(r"[^\x00-\u02ff]"), cleaned)
         .when(F.contains(text, F.lit("\u00ad")), F.replace(text, F.lit("\u00ad"), F.lit("")))
         .otherwise(text)
     )
@@ -131,11 +143,16 @@ def feature_count(tokens: Column) -> Column:
 
 
 def extract_numbers(text: Column) -> Column:
-    """Numbers as canonical strings (commas dropped, '%' kept), list markers at line starts ignored."""
+    """Numbers as canonical strings (commas dropped, '%' kept), list markers at line starts ignored.
+
+    Text without a digit is not searched.
+    """
     body = F.regexp_replace(normalize_text(text), "(?md)" + lx.LIST_MARKER, " ")
-    pattern = rf"(?<![a-zA-Z0-9_]){lx.NUMBER_BODY}%?(?![a-zA-Z0-9_])"
+    # the digit is looked for first, since it is what most places lack
+    pattern = rf"(?=\p{{Nd}})(?<![a-zA-Z0-9_]){lx.NUMBER_BODY}%?(?![a-zA-Z0-9_])"
     found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit("")))
+    numbers = F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit("")))
+    return F.when(text.rlike(r"\p{Nd}"), numbers).otherwise(F.array().cast("array<string>"))
 
 
 def bare_number(number: Column) -> Column:
@@ -151,7 +168,8 @@ def devanagari_ratio(text: Column) -> Column:
     deva = F.length(F.regexp_replace(text, "[^\u0900-\u097f]+", ""))
     alpha = F.length(F.regexp_replace(text, "[^\\p{L}\u0900-\u097f]+", ""))
     share = F.coalesce(F.try_divide(deva, alpha), F.lit(0.0))
-    return F.when(~text.rlike("[\u0900-\u097f]"), F.lit(0.0)).otherwise(share)
+    none = is_ascii(text) | ~text.rlike("[\u0900-\u097f]")
+    return F.when(none, F.lit(0.0)).otherwise(share)
 
 
 def word_array(words: list[str]) -> Column:
