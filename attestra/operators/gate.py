@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,17 +70,27 @@ def cited_text(sources: Column, retrieved: Column) -> Column:
     return F.array_join(F.array_compact(F.transform(sources, text_of)), " ")
 
 
+def bare_numbers(text: Column) -> Column:
+    return F.transform(tx.extract_numbers(text), tx.bare_number)
+
+
 def ungrounded_numbers(answer: Column, cited: Column) -> Column:
     """Numbers of the answer that the cited text lacks, in order, duplicates kept."""
-    known = F.transform(tx.extract_numbers(cited), tx.bare_number)
-    # bound once: within the filter, the cited text would be read again for each number of the answer
-    loose = F.transform(
-        F.array(known),
-        lambda found: F.filter(
-            tx.extract_numbers(answer), lambda n: ~F.array_contains(found, tx.bare_number(n))
-        ),
-    )
-    return F.get(loose, F.lit(0))
+    return numbers_beyond(answer, bare_numbers(cited))
+
+
+def numbers_beyond(answer: Column, known: Column) -> Column:
+    """Numbers of the answer that are not among the bare numbers ``known``."""
+
+    def loose(numbers: Column) -> Column:
+        # by hash first; bound, or the cited text would be read again for each number of the answer
+        lacking = F.array_except(F.transform(numbers, tx.bare_number), known)
+        return tx.bound(
+            lacking,
+            lambda found: F.filter(numbers, lambda n: F.array_contains(found, tx.bare_number(n))),
+        )
+
+    return tx.bound(tx.extract_numbers(answer), loose)
 
 
 def content_words(text: Column) -> Column:
@@ -86,6 +98,18 @@ def content_words(text: Column) -> Column:
     return F.array_except(tx.raw_tokens(text), tx.word_array(lx.STOPWORDS_ANY))
 
 
+def like_levels(thresholds: tuple[float, ...], apart: Column, overlap: Column) -> Column:
+    """Thresholds (arrays of them) that make no difference to the failures of a row.
+
+    Where the overlap counts (``apart``), each threshold above it is told in a failure of its own.
+    """
+    every = F.array(*map(F.lit, thresholds))
+    met = F.filter(every, lambda t: F.coalesce(overlap >= t, F.lit(False)))
+    missed = F.transform(F.filter(every, lambda t: F.coalesce(overlap < t, F.lit(True))), lambda t: F.array(t))
+    one_by_one = F.when(F.size(met) > 0, F.concat(F.array(met), missed)).otherwise(missed)
+    return F.when(apart, one_by_one).otherwise(F.array(every))
+
+
 def overlap_ratio(words: Column, known: Column) -> Column:
     """Share of an answer's content words among the cited ones; NULL if either side is empty."""
     shared = F.size(F.array_intersect(words, known))
@@ -152,12 +176,18 @@ def verify(
     question: str = "question",
     retrieved: str = "retrieved",
     output: str = "gate",
-    levels: tuple[str, tuple[float, ...]] | None = None,
+    levels: tuple[str, tuple[float, ...] | str] | None = None,
+    carry: str | None = None,
+    reuse: str | None = None,
 ) -> DataFrame:
     """Add the struct ``gate``: passed, outcome, checks, failures, details.
 
-    ``levels`` (column name, thresholds) repeats each row for several thresholds after it was measured,
-    so that texts are read once for all of them; the threshold is added under that name.
+    ``levels`` repeats each row for several thresholds after it was measured, so that texts are read once for
+    all of them. (column name, thresholds) adds arrays of thresholds with the same failures, of which the first
+    is applied; (column name, name of such an array) adds and applies each threshold of the array.
+
+    ``carry`` names a column to add with what was measured of the question and the cited text; ``reuse`` names
+    that column of an earlier verification of the same question and passages, which is then not measured again.
 
     With ``raw=None`` the contract columns ``_answer``, ``_sources``, ``_refuse`` are taken as they
     are (an already typed completion).
@@ -175,17 +205,27 @@ def verify(
         )
     else:
         typed = parse(df, raw)
+    cited, answer, before = F.col("_cited"), F.col("_answer"), F.col(reuse) if reuse else None
+
+    def of_cited(measure: Callable[[Column], Column], name: str) -> Column:
+        fresh = measure(cited)
+        return fresh if before is None else F.when(cited == before["cited"], before[name]).otherwise(fresh)
+
     measured = typed.withColumns(
         {
             "_cited": cited_text(F.col("_sources"), F.col(retrieved)),
-            "_q_ratio": tx.devanagari_ratio(F.col(question)),
-            "_a_ratio": tx.devanagari_ratio(F.col("_answer")),
+            "_q_ratio": tx.devanagari_ratio(F.col(question)) if before is None else before["q_ratio"],
+            "_a_ratio": tx.devanagari_ratio(answer),
+        }
+    ).withColumns(
+        {
+            "_numbers": of_cited(bare_numbers, "numbers"),
+            "_known": of_cited(content_words, "known"),
         }
     ).withColumns(
         {
-            "_loose": ungrounded_numbers(F.col("_answer"), F.col("_cited")),
-            "_words": content_words(F.col("_answer")),
-            "_known": content_words(F.col("_cited")),
+            "_loose": numbers_beyond(answer, F.col("_numbers")),
+            "_words": content_words(answer),
             "_source_fault": check_sources_real(
                 F.col("_sources"), passage_ids(F.col(retrieved))
             ),
@@ -193,10 +233,19 @@ def verify(
         }
     ).withColumn("_overlap", overlap_ratio(F.col("_words"), F.col("_known"))
     ).withColumn("_ratio", F.coalesce("_overlap", F.lit(0.0)))
+    if carry:
+        seen = {"q_ratio": "_q_ratio", "cited": "_cited", "numbers": "_numbers", "known": "_known"}
+        measured = measured.withColumn(carry, F.struct(*[F.col(c).alias(n) for n, c in seen.items()]))
+        keep = [*keep, carry]
     if levels:
         name, values = levels
-        measured = measured.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-        keep, limit = [*keep, name], F.col(name)
+        if isinstance(values, str):
+            spread, limit = F.col(values), F.col(name)
+        else:
+            apart = (F.size("_contract") == 0) & ~F.coalesce(F.col("_refuse"), F.lit(False))
+            spread, limit = like_levels(values, apart, F.col("_overlap")), F.get(name, F.lit(0))
+        measured = measured.withColumn(name, F.explode(spread))
+        keep = [*keep, name]
     measured = measured.withColumn("_limit", limit.cast("double"))
     valid = F.size("_contract") == 0
     refused = F.coalesce(F.col("_refuse"), F.lit(False))

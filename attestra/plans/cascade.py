@@ -12,6 +12,9 @@ from ..operators.index import Index
 from ..operators.retrieve import retrieve
 from ..sources.completions import REPLAY_MISS, CompletionSource
 
+#: column of the first attempt with what the second one needs not measure again
+MEASURED = "_measured"
+
 
 def ask(
     questions: DataFrame,
@@ -50,9 +53,15 @@ def first_attempt(retrieved: DataFrame, source: CompletionSource) -> DataFrame:
 
 
 def second_attempt(
-    checked: DataFrame, source: CompletionSource, threshold: Column | float
+    checked: DataFrame,
+    source: CompletionSource,
+    threshold: Column | float,
+    levels: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Escalate the rows whose tier-1 answer failed the gate; add the ``tier2`` attempt."""
+    """Escalate the rows whose tier-1 answer failed the gate; add the ``tier2`` attempt.
+
+    What ``attempt_one`` measured of the question and the cited text is used again and dropped.
+    """
     requests = checked.withColumns(
         {
             "wanted": F.col("tier1").isNotNull() & (F.col("tier1")["gate_outcome"] == "failed"),
@@ -66,18 +75,21 @@ def second_attempt(
     )
     done = source.complete(requests, "tier2").drop("messages")
     done = done.withColumn("escalated", F.col("wanted"))
-    return attempt(done, "tier2", threshold).withColumnRenamed("error", "tier2_error")
+    done = attempt(done, "tier2", threshold, levels, reuse=MEASURED)
+    return done.drop(MEASURED).withColumnRenamed("error", "tier2_error")
 
 
 def attempt(
     completed: DataFrame,
     tier: str,
     threshold: Column | float,
-    levels: tuple[str, tuple[float, ...]] | None = None,
+    levels: tuple[str, tuple[float, ...] | str] | None = None,
+    carry: str | None = None,
+    reuse: str | None = None,
 ) -> DataFrame:
     """Verify ``completion`` and fold both into one attempt struct named after the tier."""
     raw = completed.withColumn("_raw", F.col("completion")["text"])
-    verified = gate.verify(raw, threshold, raw="_raw", levels=levels)
+    verified = gate.verify(raw, threshold, raw="_raw", levels=levels, carry=carry, reuse=reuse)
     g, c = F.col("gate"), F.col("completion")
     record = F.struct(
         F.lit(tier).alias("tier"),
@@ -118,7 +130,8 @@ def attempt_one(
     threshold: Column | float,
     levels: tuple[str, tuple[float, ...]] | None = None,
 ) -> DataFrame:
-    return attempt(completed, "tier1", threshold, levels).withColumnRenamed("error", "tier1_error")
+    done = attempt(completed, "tier1", threshold, levels, carry=MEASURED)
+    return done.withColumnRenamed("error", "tier1_error")
 
 
 def decide(attempted: DataFrame) -> DataFrame:

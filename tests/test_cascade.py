@@ -11,7 +11,8 @@ from attestra.functions import lexicon as lx
 from attestra.operators.index import Index
 from attestra.operators.metrics import metrics, metrics_by_language
 from attestra.operators.retrieve import rank, retrieve
-from attestra.plans.benchmark import run_benchmark
+from attestra.plans import cascade
+from attestra.plans.benchmark import gate_records, gate_sweep, run_benchmark
 from attestra.plans.cascade import ask
 from attestra.plans.service import answer_requests
 from attestra.sources import reports
@@ -304,3 +305,38 @@ def test_recorded_runs(spark, pack, tmp_path):
     assert runs.first().scenario == "The first model's answer passed all checks (calls: 1)."
     assert reports.write_runs(runs, str(tmp_path / "runs")) and not reports.write_runs(runs.limit(0), str(tmp_path / "runs"))
     assert spark.read.json(str(tmp_path / "runs")).count() == 1
+
+
+class _Fixed:
+    """The same reply to each question and tier, by ``qid``; keeps the requests it gets."""
+
+    def __init__(self, replies):
+        self.replies, self.asked = replies, []
+
+    def complete(self, requests, tier):
+        self.asked.append((tier, requests.where("wanted")))
+        text = F.lit(None).cast("string")
+        for (qid, at), reply in self.replies.items():
+            text = F.when((F.col("qid") == qid) & (F.lit(tier) == at), F.lit(reply)).otherwise(text)
+        fields = {"text": text, "provider": F.lit("p"), "model": F.lit("m"), "latency": F.lit(1.0), "finish_reason": F.lit("stop")}
+        completion = F.struct(*[c.alias(n) for n, c in fields.items()])
+        return requests.withColumns({"completion": F.when(F.col("wanted"), completion), "error": F.lit(None).cast("string")})
+
+
+def test_sweep_asks_once_for_like_failures(spark, pack):
+    def told(answer):
+        return json.dumps({"answer": answer, "sources": ["DOC_EN_01"], "refuse": False})
+
+    half = "Every registered grower dragons unicorns goblins."
+    replies = {(0, "tier1"): "no json", (0, "tier2"): told(half), (1, "tier1"): told(half), (1, "tier2"): told(GOOD)}
+    questions = asked(spark, Q, Q + " Tell me.").withColumns({"lang": F.lit("en"), "answerable": F.lit(True)})
+    source, retrieved = _Fixed(replies), retrieve(questions, pack, FAST)
+    completed = cascade.first_attempt(retrieved, source)
+    swept = {r.overlap_threshold: r for r in gate_sweep(completed, source, (0.4, 0.5, 0.6, 0.7)).collect()}
+    # one request for the invalid JSON at all thresholds, and one for each threshold the other answer misses
+    per_question = {r.qid: r.n for r in source.asked[-1][1].groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert per_question == {0: 1, 1: 2}
+    for limit, row in swept.items():
+        answered = cascade.resolve(retrieved, _Fixed(replies), replace(FAST, overlap_threshold=limit))
+        alone = metrics(gate_records(answered), "setup").first().asDict()
+        assert {k: v for k, v in alone.items() if k != "setup"} == {k: v for k, v in row.asDict().items() if k != "overlap_threshold"}

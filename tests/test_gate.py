@@ -1,6 +1,7 @@
 """Contract parsing and the grounding checks on literal cases."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,38 @@ def test_known_numbers_are_read_once(spark):
     assert [r.loose for r in loose.collect()] == [["7"], ["5"], []]
     plan = loose._jdf.queryExecution().analyzed().toString()
     assert "array_contains(lambda" in plan and "array_contains(transform" not in plan
+
+
+def test_open_braces_without_end(spark):
+    """One look at each brace: the text was searched again from each of them to its end."""
+    many = "{" * 300_000
+    rows = spark.createDataFrame([(many,), ("a } " + many + "}b",), (None,), ("```json\n{}\n```",)], "raw string").coalesce(1)
+    began = time.monotonic()
+    found = [r.s for r in rows.select(ct.json_slice(F.col("raw")).alias("s")).collect()]
+    assert found == [many, many + "}", None, "{}"]
+    assert time.monotonic() - began < 30
+
+
+def test_json_text_is_stripped_once(spark):
+    plan = spark.createDataFrame([("{}",)], "raw string").select(ct.json_slice(F.col("raw")).alias("s"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("trim(raw") == 1
+
+
+def test_measures_are_used_again(spark):
+    """A second verification gives the same with the measures of the first, for equal and for other citations."""
+    answers = [completion(GOOD), completion(GOOD, ("DOC_MR_01",)), completion("Grants of 2,000 and 77."), "no json"]
+    rows = [(json.dumps(a, ensure_ascii=False), json.dumps(b, ensure_ascii=False), Q, PACK) for a in answers for b in answers]
+    df = spark.createDataFrame(rows, SCHEMA.replace("raw_output", "one string, two")).coalesce(1)
+    first = gate.verify(df, raw="one", output="g1", carry="seen")
+    both = gate.verify(gate.verify(first, raw="two", output="again", reuse="seen"), raw="two", output="fresh")
+    assert all(r.again == r.fresh for r in both.select("again", "fresh").collect())
+
+
+def test_levels_with_like_failures(spark):
+    levels = (0.2, 0.5, 1.0)
+    rows = [(json.dumps(completion("Grower dragons")), Q, PACK), ("no json", Q, PACK), (json.dumps(completion("Dragons")), Q, PACK)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    spread = gate.verify(df, F.get("l", F.lit(0)), levels=("l", levels)).select("l", "gate.outcome").collect()
+    assert [(r.l, r.outcome) for r in spread] == [
+        ([0.2, 0.5], "passed"), ([1.0], "failed"), (list(levels), "failed"), ([0.2], "failed"), ([0.5], "failed"), ([1.0], "failed"),
+    ]
