@@ -38,6 +38,11 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), lx.DEVANAGARI_DIGITS, lx.ASCII_DIGITS)
 
 
+def _beyond_latin(text: Column) -> Column:
+    """Characters from U+0300 on; as a range of the plane that surrogates lie in, java.util.regex compares char by char."""
+    return text.rlike("[\u0300-\uffff]")
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition. Text below U+0300 is composed already and is passed through.
 
@@ -47,7 +52,7 @@ def nfc(text: Column) -> Column:
     composed = F.java_method(
         F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False)
     )
-    return F.when(text.rlike(r"[^\x00-\u02ff]"), composed).otherwise(text)
+    return F.when(_beyond_latin(text), composed).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:
@@ -60,7 +65,7 @@ def normalize_text(text: Column) -> Column:
     # only the soft hyphen can occur below U+0300
     return (
         F.when(is_ascii(text), text)
-        .when(text.rlike(r"[^\x00-\u02ff]"), cleaned)
+        .when(_beyond_latin(text), cleaned)
         .when(F.contains(text, F.lit("\u00ad")), F.replace(text, F.lit("\u00ad"), F.lit("")))
         .otherwise(text)
     )

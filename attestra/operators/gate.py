@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,8 +184,8 @@ def verify(
     all of them. (column name, thresholds) adds arrays of thresholds with the same failures, of which the first
     is applied; (column name, name of such an array) adds and applies each threshold of the array.
 
-    ``carry`` names a column to add with what was measured of the question and the cited text; ``reuse`` names
-    that column of an earlier verification of the same question and passages, which is then not measured again.
+    ``carry`` names a column to add with what was measured of the question, the cited text and the answer; ``reuse``
+    names that column of an earlier verification of the same question and passages. What is equal is not measured again.
 
     With ``raw=None`` the contract columns ``_answer``, ``_sources``, ``_refuse`` are taken as they
     are (an already typed completion).
@@ -207,36 +205,38 @@ def verify(
         typed = parse(df, raw)
     cited, answer, before = F.col("_cited"), F.col("_answer"), F.col(reuse) if reuse else None
 
-    def of_cited(measure: Callable[[Column], Column], name: str) -> Column:
-        fresh = measure(cited)
-        return fresh if before is None else F.when(cited == before["cited"], before[name]).otherwise(fresh)
+    def known(same: Column | None, name: str, fresh: Column) -> Column:
+        return fresh if same is None else F.when(same, before[name]).otherwise(fresh)
 
+    same_cited = None if before is None else cited == before["cited"]
+    same_answer = None if before is None else answer == before["answer"]
+    same_both = None if before is None else same_cited & same_answer
     measured = typed.withColumns(
         {
             "_cited": cited_text(F.col("_sources"), F.col(retrieved)),
             "_q_ratio": tx.devanagari_ratio(F.col(question)) if before is None else before["q_ratio"],
-            "_a_ratio": tx.devanagari_ratio(answer),
+            "_a_ratio": known(same_answer, "a_ratio", tx.devanagari_ratio(answer)),
         }
     ).withColumns(
         {
-            "_numbers": of_cited(bare_numbers, "numbers"),
-            "_known": of_cited(content_words, "known"),
+            "_numbers": known(same_cited, "numbers", bare_numbers(cited)),
+            "_known": known(same_cited, "known", content_words(cited)),
         }
     ).withColumns(
         {
-            "_loose": numbers_beyond(answer, F.col("_numbers")),
-            "_words": content_words(answer),
+            "_loose": known(same_both, "loose", numbers_beyond(answer, F.col("_numbers"))),
+            "_words": known(same_answer, "words", content_words(answer)),
             "_source_fault": check_sources_real(
                 F.col("_sources"), passage_ids(F.col(retrieved))
             ),
             "_script_fault": script_failure("_q_ratio", "_a_ratio"),
         }
-    ).withColumn("_overlap", overlap_ratio(F.col("_words"), F.col("_known"))
+    ).withColumn("_overlap", known(same_both, "overlap", overlap_ratio(F.col("_words"), F.col("_known")))
     ).withColumn("_ratio", F.coalesce("_overlap", F.lit(0.0)))
     if carry:
-        seen = {"q_ratio": "_q_ratio", "cited": "_cited", "numbers": "_numbers", "known": "_known"}
-        measured = measured.withColumn(carry, F.struct(*[F.col(c).alias(n) for n, c in seen.items()]))
-        keep = [*keep, carry]
+        names = "q_ratio a_ratio cited numbers known answer loose words overlap".split()
+        measured = measured.withColumn(carry, F.struct(*[F.col(f"_{n}").alias(n) for n in names]))
+        keep = [*(c for c in keep if c != carry), carry]
     if levels:
         name, values = levels
         if isinstance(values, str):

@@ -60,7 +60,7 @@ def second_attempt(
 ) -> DataFrame:
     """Escalate the rows whose tier-1 answer failed the gate; add the ``tier2`` attempt.
 
-    What ``attempt_one`` measured of the question and the cited text is used again and dropped.
+    What ``attempt_one`` measured of the question, the cited text and the answer is used again and dropped.
     """
     requests = checked.withColumns(
         {
@@ -130,7 +130,9 @@ def attempt_one(
     threshold: Column | float,
     levels: tuple[str, tuple[float, ...]] | None = None,
 ) -> DataFrame:
-    done = attempt(completed, "tier1", threshold, levels, carry=MEASURED)
+    """Verify the first completion; measures that ``completed`` has from a verification of the same text are used."""
+    seen = MEASURED if MEASURED in completed.columns else None
+    done = attempt(completed, "tier1", threshold, levels, carry=MEASURED, reuse=seen)
     return done.withColumnRenamed("error", "tier1_error")
 
 

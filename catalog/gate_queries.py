@@ -28,8 +28,8 @@ def cases(spark, sf_dir) -> DataFrame:
     variant = "(pos % 16)"
     return paired.select(
         F.col("pos").alias("key"),
-        F.expr(sql.case_question(variant, "text")).alias("question"),
-        F.expr(sql.completion(variant, "text", "id")).alias("raw_output"),
+        F.expr(sql.case_question(variant, "text", sql.plain_java)).alias("question"),
+        F.expr(sql.completion(variant, "text", "id", sql.plain_java)).alias("raw_output"),
         F.array_compact(F.array(*passages)).alias("retrieved"),
     )
 

@@ -39,9 +39,9 @@ class DerivedSource:
         )
         variant = "(qid % 16)"
         if tier == "tier1":
-            text, down = sql.completion(variant, "_text", "_id"), _TIER1_DOWN
+            text, down = sql.completion(variant, "_text", "_id", sql.plain_java), _TIER1_DOWN
         elif tier == "tier2":
-            text = sql.completion(f"({sql.SECOND.format(v=variant)})", "_text", "_id")
+            text = sql.completion(f"({sql.SECOND.format(v=variant)})", "_text", "_id", sql.plain_java)
             down = _TIER2_DOWN
         else:
             text = "'{\"grounded\": ' || CASE WHEN qid % 3 = 0 THEN 'false' ELSE 'true' END || '}'"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from attestra.functions import lexicon as lx
 from attestra.operators.index import POOLS
 
@@ -201,12 +203,17 @@ def plain(text: str) -> str:
     return PLAIN.format(text=text)
 
 
-def case_question(variant: str, text: str) -> str:
+def plain_java(text: str) -> str:
+    """``plain`` as Spark runs it: one pass of a character class, as its ``translate`` looks up each character."""
+    return rf"""regexp_replace({text}, '["\\\\\\t\\r\\n]', ' ')"""
+
+
+def case_question(variant: str, text: str, plain: Callable[[str], str] = plain) -> str:
     first = plain(text)
     return f"CASE WHEN {variant} IN (7, 9) THEN {deva(first)} ELSE {first} || '?' END"
 
 
-def completion(variant: str, text: str, pid: str) -> str:
+def completion(variant: str, text: str, pid: str, plain: Callable[[str], str] = plain) -> str:
     """Completion text: clean or with one of fifteen defects, about the whole text."""
     first = plain(text)
 

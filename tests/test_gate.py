@@ -230,6 +230,17 @@ def test_measures_are_used_again(spark):
     assert all(r.again == r.fresh for r in both.select("again", "fresh").collect())
 
 
+def test_an_answer_kept_word_for_word_is_not_measured_again(spark):
+    kept, other = completion(GOOD), completion("Grants of 2,000 and 77.")
+    rows = [(json.dumps(kept), json.dumps(two), Q, PACK) for two in (kept, other)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("raw_output", "one string, two")).coalesce(1)
+    first = gate.verify(df, raw="one", output="g1", carry="seen")
+    told = first.withColumn("seen", F.col("seen").withField("overlap", F.lit(0.125).cast("double")))
+    again = gate.verify(told, raw="two", output="g2", reuse="seen").select("g2.details.token_overlap_ratio").collect()
+    fresh = gate.verify(first, raw="two", output="g2").select("g2.details.token_overlap_ratio").collect()
+    assert again[0][0] == 0.125 != fresh[0][0] and again[1] == fresh[1]
+
+
 def test_levels_with_like_failures(spark):
     levels = (0.2, 0.5, 1.0)
     rows = [(json.dumps(completion("Grower dragons")), Q, PACK), ("no json", Q, PACK), (json.dumps(completion("Dragons")), Q, PACK)]
