@@ -186,11 +186,10 @@ def _gate(spark, sf_dir) -> DataFrame:
 
 
 def _records(spark, sf_dir) -> DataFrame:
-    """Records of the three setups over one staged first attempt, as ``run_benchmark`` has them."""
+    """Records of the three setups over one staged first attempt with its measures, as ``run_benchmark`` has them."""
     source, limit = DerivedSource(), F.lit(CFG.overlap_threshold)
-    completed = stage(_completed(spark, sf_dir), "completed")
-    raw = stage(bm.raw_stage(completed), "raw")
-    checked = cascade.second_attempt(cascade.attempt_one(completed, limit), source, limit)
+    raw = stage(bm.raw_stage(_completed(spark, sf_dir)), "raw")
+    checked = cascade.second_attempt(cascade.attempt_one(raw, limit), source, limit)
     parts = [bm.raw_records(raw), bm.judge_records(raw, source), bm.gate_records(cascade.decide(checked))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
