@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
@@ -17,6 +20,9 @@ from ..session import fits, stage, staging_dir, staging_scope
 from . import index as ix
 from . import score as sc
 
+#: tasks a core that score a round
+_TASKS = 3
+
 
 def route(questions: DataFrame) -> DataFrame:
     """Add ``candidates``: the candidate languages of each question."""
@@ -126,50 +132,66 @@ def _scored_in_rounds(
 ) -> tuple[DataFrame, set[str]]:
     """(qid, pos, score) with the best ``top_k`` of each question and task, and the pools in use.
 
-    A round has so many questions that four rows (language groups) per query term are at most
-    ``broadcast_max_rows``; these come to the driver and are broadcast. With one round each passage is
-    tokenised once and only its terms that are asked for are staged; with more, its words are staged before.
+    Passages are packed and staged once. A round has so many questions that its query terms are at most
+    ``broadcast_max_rows`` rows; these come to the driver and are broadcast. The next round is made ready
+    while the tasks score one.
     """
     spark = staged.sparkSession
     terms = staged.where("term IS NOT NULL AND qid IS NOT NULL")
-    rounds = max(1, min(-(-rows * 4 // max(1, cfg.broadcast_max_rows)), rows))
+    rounds = max(1, min(-(-rows // max(1, cfg.broadcast_max_rows)), rows))
     fields = F.struct("lang_group", F.col("doc_len").cast("int").alias("doc_len"), "words")
-    words = ix.analyse(passages).groupBy(F.col("pos").cast("bigint").alias("pos")).agg(F.collect_list(fields).alias("parts"))
+    words = ix.prepare(passages).groupBy("pos").agg(F.collect_list(fields).alias("parts"))
     path = f"{staging_dir(spark)}/scored-{uuid.uuid4().hex}"
     used: set[str] = set()
     with staging_scope(spark):
-        if rounds > 1:
-            words = stage(words, "words")
-        for i in range(rounds):
-            with staging_scope(spark):
-                mine = F.pmod(F.xxhash64("qid"), F.lit(rounds)) == i
-                used |= _score_round(terms.where(mine), words, wanted, path, cfg)
+        packed = stage(words.select(F.col("pos").cast("bigint").alias("pos"), "parts").mapInArrow(sc.pack, sc.PACKED), "packed")
+
+        def ready(i: int) -> _Round:
+            return _round(terms.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == i), packed, wanted)
+
+        with ThreadPoolExecutor(1) as ahead:
+            following = ahead.submit(ready, 0)
+            for i in range(rounds):
+                now = following.result()
+                if i + 1 < rounds:
+                    following = ahead.submit(ready, i + 1)
+                _score_round(now, packed, path, cfg)
+                used |= now.used
     schema = StructType([staged.schema["qid"], StructField("pos", LongType()), StructField("score", DoubleType())])
     return spark.read.schema(schema).parquet(path), used
 
 
-def _score_round(terms: DataFrame, words: DataFrame, wanted: set[str], path: str, cfg: Config) -> set[str]:
-    """Append the best passages of the questions of a round to ``path``; returns the pools in use."""
-    context = terms.sparkSession.sparkContext
+@dataclass
+class _Round:
+    """Questions of a round: what workers need of them, their ids by number, and the pools in use."""
+
+    vocabulary: Broadcast
+    todo: Broadcast
+    qids: DataFrame
+    used: set[str]
+
+
+def _round(terms: DataFrame, packed: DataFrame, wanted: set[str]) -> _Round:
+    """The questions of ``terms``, with the weights of their terms among the ``packed`` passages."""
+    spark = terms.sparkSession
     asked = terms.select("qid", "wanted", "term", "qtf").toArrow().combine_chunks()
     term = asked["term"].combine_chunks().dictionary_encode()
-    vocabulary = context.broadcast({t: i for i, t in enumerate(term.dictionary.to_pylist())})
-    packed = stage(words.mapInArrow(sc.pack(vocabulary), sc.PACKED), "packed")
-    counted = packed.mapInArrow(sc.count_terms, sc.COUNTED).groupBy("lang_group", "term")
-    table = counted.agg(F.sum("df").alias("df"), F.sum("total_len").alias("total_len")).toArrow()
-    counts = {k: table[k].to_numpy() for k in table.column_names}
-    whole = counts["term"] == -1
-    groups = {g: (int(n), int(t)) for g, n, t in zip(*(counts[k][whole] for k in ("lang_group", "df", "total_len")), strict=True)}
-    figures = _figures(groups)
+    vocabulary = spark.sparkContext.broadcast(term.dictionary)
+    all_groups = ix.POOLS["all"]
+    counted = packed.select("terms").mapInArrow(sc.count_terms(vocabulary, all_groups), sc.counted(all_groups)).groupBy("term")
+    table = counted.agg(*[F.sum(g).alias(g) for g in all_groups]).toArrow()
+    numbers, counts = table["term"].to_numpy(), {g: table[g].to_numpy() for g in all_groups}
+    sizes = {g: [int(c[numbers == x].sum()) for x in (sc.N, sc.TOTAL_LEN)] for g, c in counts.items()}
+    figures = _figures({g: (n, total) for g, (n, total) in sizes.items() if n})
     used = {pool if pool in figures else "all" for pool in wanted}
 
     names = sorted(used)
     df = np.zeros((len(names), max(1, len(term.dictionary))))
     for i, pool in enumerate(names):
-        inside = ~whole & np.isin(counts["lang_group"], ix.POOLS[pool])
-        np.add.at(df[i], counts["term"][inside], counts["df"][inside])
-    own = asked["wanted"].to_pylist()
-    pool = np.array([names.index(w if w in used else "all") for w in own], np.int64)
+        df[i][numbers[numbers >= 0]] = sum(counts[g] for g in ix.POOLS[pool])[numbers >= 0]
+    own = asked["wanted"].combine_chunks().dictionary_encode()
+    pool_of = [names.index(w if w in used else "all") for w in own.dictionary.to_pylist()]
+    pool = np.array(pool_of, np.int64)[own.indices.to_numpy(zero_copy_only=False)]
     number = term.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     qids = asked["qid"].combine_chunks().dictionary_encode()
     question = qids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -177,19 +199,24 @@ def _score_round(terms: DataFrame, words: DataFrame, wanted: set[str], path: str
     n = np.array([figures.get(p, (0, 1.0))[0] for p in names], float)[pool]
     weight = asked["qtf"].to_numpy() * np.log(1.0 + (n - found + 0.5) / (found + 0.5))
     known = found > 0
-    todo = sc.blocks(
+    todo = sc.plan(
         question[known], pool[known], number[known], weight[known], (found / np.maximum(n, 1.0))[known],
         [(ix.POOLS[p], figures.get(p, (0, 1.0))[1]) for p in names],
     )
-    sent = context.broadcast(todo)
-    scored = packed.mapInArrow(sc.score(sent, cfg.top_k, cfg.k1, cfg.b), sc.SCORED)
     numbered = pa.table({"question": pa.array(np.arange(len(qids.dictionary), dtype=np.int32)), "qid": qids.dictionary})
-    key = terms.sparkSession.createDataFrame(numbered, StructType([StructField("question", IntegerType()), terms.schema["qid"]]))
-    best = scored.join(F.broadcast(key), "question").select("qid", "pos", "score")
+    key = spark.createDataFrame(numbered, StructType([StructField("question", IntegerType()), terms.schema["qid"]]))
+    return _Round(vocabulary, spark.sparkContext.broadcast(todo), key, used)
+
+
+def _score_round(now: _Round, packed: DataFrame, path: str, cfg: Config) -> None:
+    """Append the best passages of the questions of a round to ``path``."""
+    # every task returns its best of each question: few tasks, as all have the same work
+    tasks = _TASKS * packed.sparkSession.sparkContext.defaultParallelism
+    scored = packed.coalesce(tasks).mapInArrow(sc.score(now.vocabulary, now.todo, cfg.top_k, cfg.k1, cfg.b), sc.SCORED)
+    best = scored.join(F.broadcast(now.qids), "question").select("qid", "pos", "score")
     best.write.mode("append").parquet(path)
-    sent.unpersist()
-    vocabulary.unpersist()
-    return used
+    now.todo.unpersist()
+    now.vocabulary.unpersist()
 
 
 def _scored_by_index(

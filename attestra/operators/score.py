@@ -1,8 +1,9 @@
 """BM25 scores of a bounded set of questions: a block of questions by a block of passages at a time.
 
 A question shares some gram with nearly every passage, so a row per (question, passage, term) is far more than the
-input. Here each task packs its passages into term counts of the vocabulary that is asked for, and multiplies a matrix
-of question weights by a matrix of term values; only the best passages of a task's questions leave it.
+input. Here tasks pack their passages into blocks of term counts, once and without knowing the questions: a block numbers
+its own terms and lists them. A round of questions looks these lists up in its vocabulary, multiplies a matrix of question
+weights by a matrix of term values, and only the best passages of a task's questions leave it.
 """
 
 from __future__ import annotations
@@ -15,22 +16,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
 
-#: rows ``pack`` makes: one per passage position, with a part for each distinct (language group, length) it has
-PACKED = "pos bigint, parts array<struct<lang_group:string,doc_len:int,n:int,terms:array<int>,tfs:array<int>>>"
-#: passages and questions of one product of matrices
-PASSAGES, QUESTIONS = 512, 1024
+#: rows ``pack`` makes, one per block: its terms and how many passages have them, and the passages themselves (see ``_frozen``)
+PACKED = "terms binary, passages binary"
+#: passages of a block and questions of one product of matrices
+PASSAGES, QUESTIONS = 1024, 1024
 #: a term that this share of (question, passage) pairs has in common goes through the matrix product
-DENSE = 0.01
+DENSE = 0.001
+#: groups of passages whose best scores bound the ``k``-th best from below
+_HEADS = 64
+#: pairs scored exactly at a time
+_PAIRS = 256
 _WORDS_KEPT = 200_000
 _NO_POS = np.iinfo(np.int64).min
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = PASSAGES) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(list, place in it) of all items of lists of these lengths."""
     owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -47,206 +46,305 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values[order], first)
 
 
-def pack(vocabulary: Broadcast) -> Callable:
-    """Rows ``PACKED`` from (pos, parts of lang_group, doc_len, words); ``vocabulary`` numbers the terms that count.
+def _frozen(**columns: pa.Array) -> bytes:
+    """Arrays of any lengths as one value."""
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns.values()]
+    batch = pa.RecordBatch.from_arrays(lists, names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _thawed(value: pa.Scalar) -> dict[str, pa.Array]:
+    batch = pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+    return {name: batch.column(name).flatten() for name in batch.schema.names}
+
+
+def _by_group(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Blocks of passages, in the order of language groups, so that few blocks have several."""
+    first = pc.struct_field(pc.list_element(batch.column("parts"), 0), "lang_group")
+    rows = batch.take(pc.sort_indices(first))
+    for start in range(0, rows.num_rows, PASSAGES):
+        yield rows.slice(start, PASSAGES)
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``PACKED`` from (pos, parts of lang_group, doc_len, words).
 
     Rows of one position, group and length are one passage, as they are to the postings.
     """
-    types = pa.struct(
-        [("lang_group", pa.string()), ("doc_len", pa.int32()), ("n", pa.int32()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))]
-    )
+    number: dict[str, int] = {}
+    names: list[str] = []
+    seen: dict[str, list[int]] = {}
+
+    def terms_of(word: str) -> list[int]:
+        """Numbers of the word and of its 3-grams, as ``explode_features`` makes them."""
+        if not word:
+            return []
+        found = []
+        for feature in [word] + [word[i : i + 3] for i in range(max(1, len(word) - 2))]:
+            at = number.get(feature)
+            if at is None:
+                at = number[feature] = len(names)
+                names.append(feature)
+            found.append(at)
+        return found
+
+    for batch in (block for rows in batches if rows.num_rows for block in _by_group(rows)):
+        parts = batch.column("parts")
+        rows = pc.list_parent_indices(parts).to_numpy()
+        flat = parts.flatten()
+        length = flat.field("doc_len").to_numpy(zero_copy_only=False)
+        coded = flat.field("lang_group").dictionary_encode()
+        groups, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # rows of one position, group and length become one part
+        key = np.stack([rows.astype(np.int64), codes, length.astype(np.int64)], axis=1)
+        unlike, part_of = np.unique(key, axis=0, return_inverse=True)
+        part_of = part_of.reshape(-1)
+        copies = np.bincount(part_of, minlength=len(unlike))
+
+        lists = pc.split_pattern(flat.field("words"), " ")
+        owner = pc.list_parent_indices(lists).to_numpy()
+        words = lists.flatten().dictionary_encode()
+        for word in (distinct := words.dictionary.to_pylist()):
+            if word not in seen:
+                seen[word] = terms_of(word)
+        found = [seen[w] for w in distinct]
+        sizes = np.array([len(f) for f in found], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        all_terms = np.array([t for f in found for t in f], np.int64)
+        n_words, n_terms = max(1, len(distinct)), max(1, len(names))
+        in_words, counts = _summed(part_of[owner] * n_words + words.indices.to_numpy(), np.ones(len(owner), np.int64))
+        word = in_words % n_words
+        item, place = _spread(sizes[word])
+        entries, tfs = _summed((in_words // n_words)[item] * n_terms + all_terms[starts[word][item] + place], counts[item])
+        part, term = entries // n_terms, entries % n_terms
+        # the block numbers its own terms
+        used = np.zeros(n_terms, bool)
+        used[term] = True
+        term = (np.cumsum(used) - 1)[term]
+        own = [names[i] for i in np.flatnonzero(used)]
+        group = unlike[:, 1]
+        df = [np.bincount(term[group[part] == g], minlength=len(own)) for g in range(len(groups))]
+        total = np.bincount(group, copies * unlike[:, 2], len(groups)).astype(np.int64)
+        head = _frozen(
+            term=pa.array(own, pa.string()),
+            group=groups,
+            df=pa.array(np.concatenate(df).astype(np.int32)),
+            n=pa.array(np.bincount(group, copies, len(groups)).astype(np.int64)),
+            total_len=pa.array(total),
+        )
+        body = _frozen(
+            pos=pa.array(batch.column("pos").fill_null(int(_NO_POS)).to_numpy()),
+            row=pa.array(unlike[:, 0].astype(np.int32)),
+            group=pa.array(group.astype(np.int32)),
+            length=pa.array(unlike[:, 2].astype(np.int32)),
+            entries=pa.array(np.bincount(part, minlength=len(unlike)).astype(np.int32)),
+            term=pa.array(term.astype(np.int32)),
+            tf=pa.array(tfs.astype(np.int32)),
+        )
+        yield pa.RecordBatch.from_arrays([pa.array([head], pa.binary()), pa.array([body], pa.binary())], names=["terms", "passages"])
+        if len(seen) > _WORDS_KEPT:
+            number.clear(), names.clear(), seen.clear()
+
+
+def _heads(column: pa.Array, vocabulary: pa.Array) -> Iterator[tuple[dict[str, pa.Array], np.ndarray]]:
+    """The lists of terms of some blocks, with the number of each term in the vocabulary, -1 without one."""
+    heads = [_thawed(value) for value in column]
+    # looked up together, as the vocabulary is hashed each time
+    at = pc.index_in(pa.concat_arrays([head["term"] for head in heads]), value_set=vocabulary).fill_null(-1)
+    ends = np.cumsum([len(head["term"]) for head in heads])
+    yield from zip(heads, np.split(at.to_numpy(zero_copy_only=False), ends[:-1]), strict=True)
+
+
+#: terms of ``count_terms`` that stand for the passages of a group and for their total length
+N, TOTAL_LEN = -1, -2
+
+
+def counted(groups: list[str]) -> str:
+    """Rows ``count_terms`` makes: passages of each language group with a term."""
+    return ", ".join(["term int", *(f"{g} bigint" for g in groups)])
+
+
+def count_terms(vocabulary: Broadcast, groups: list[str]) -> Callable:
+    """Per task: passages with each term of the vocabulary, passages and their total length, by language group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = vocabulary.value, {}
-
-        def terms_of(word: str) -> list[int]:
-            """Numbers of the word and of its 3-grams, as ``explode_features`` makes them."""
-            if not word:
-                return []
-            features = [word] + [word[i : i + 3] for i in range(max(1, len(word) - 2))]
-            return [number[f] for f in features if f in number]
-
-        for batch in _slices(batches):
-            parts = batch.column("parts").combine_chunks() if isinstance(batch.column("parts"), pa.ChunkedArray) else batch.column("parts")
-            rows = pc.list_parent_indices(parts).to_numpy()
-            flat = parts.flatten()
-            group, length = flat.field("lang_group"), flat.field("doc_len").to_numpy(zero_copy_only=False)
-            coded = group.dictionary_encode()
-            names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            # rows of one position, group and length become one part
-            key = np.stack([rows.astype(np.int64), codes, length.astype(np.int64)], axis=1)
-            unlike, part_of = np.unique(key, axis=0, return_inverse=True)
-            part_of = part_of.reshape(-1)
-            copies = np.bincount(part_of, minlength=len(unlike))
-
-            lists = pc.split_pattern(flat.field("words"), " ")
-            owner = pc.list_parent_indices(lists).to_numpy()
-            words = lists.flatten().dictionary_encode()
-            for word in (distinct := words.dictionary.to_pylist()):
-                if word not in seen:
-                    seen[word] = terms_of(word)
-            found = [seen[w] for w in distinct]
-            if len(seen) > _WORDS_KEPT:
-                seen.clear()
-            sizes = np.array([len(f) for f in found], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            all_terms = np.array([t for f in found for t in f], np.int64)
-            n_words, n_terms = max(1, len(distinct)), max(1, len(number))
-            in_words, counts = _summed(part_of[owner] * n_words + words.indices.to_numpy(), np.ones(len(owner), np.int64))
-            word = in_words % n_words
-            item, place = _spread(sizes[word])
-            entries, tfs = _summed((in_words // n_words)[item] * n_terms + all_terms[starts[word][item] + place], counts[item])
-            ends = np.searchsorted(entries // n_terms, np.arange(len(unlike) + 1))
-            out = pa.StructArray.from_arrays(
-                [
-                    pa.array([names[c] for c in unlike[:, 1]], pa.string()),
-                    pa.array(unlike[:, 2].astype(np.int32)),
-                    pa.array(copies.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((entries % n_terms).astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tfs.astype(np.int32))),
-                ],
-                fields=list(types),
-            )
-            bounds = np.searchsorted(unlike[:, 0], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("pos"), pa.ListArray.from_arrays(pa.array(bounds), out)], names=["pos", "parts"]
-            )
+        asked = vocabulary.value
+        totals = np.zeros((len(groups), len(asked)), np.int64)
+        sizes = np.zeros((len(groups), 2), np.int64)
+        for head, at in (x for batch in batches if batch.num_rows for x in _heads(batch.column("terms"), asked)):
+            known = at >= 0
+            df = head["df"].to_numpy().reshape(-1, len(at))
+            for i, group in enumerate(head["group"].to_pylist()):
+                totals[groups.index(group), at[known]] += df[i][known]
+                sizes[groups.index(group)] += head["n"][i].as_py(), head["total_len"][i].as_py()
+        terms = np.flatnonzero(totals.any(axis=0))
+        columns = [np.r_[sizes[i], totals[i, terms]] for i in range(len(groups))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[N, TOTAL_LEN, terms].astype(np.int32)), *map(pa.array, columns)], names=["term", *groups]
+        )
 
     return run
 
 
 @dataclass
 class _Passages:
-    """Packed passages of a batch: positions, and per part its row, group, length and entries."""
+    """Passages of a block: positions, and per part its row, group and length; entries have the numbers of a round's terms."""
 
     pos: np.ndarray
     row: np.ndarray
     group: np.ndarray
     length: np.ndarray
-    copies: np.ndarray
     part: np.ndarray
     term: np.ndarray
     tf: np.ndarray
 
 
-def _unpacked(batch: pa.RecordBatch) -> _Passages:
-    parts = batch.column("parts")
-    flat = parts.flatten()
-    terms = flat.field("terms")
-    return _Passages(
-        batch.column("pos").fill_null(int(_NO_POS)).to_numpy(),
-        pc.list_parent_indices(parts).to_numpy(),
-        np.array(flat.field("lang_group").to_pylist(), dtype=object),
-        flat.field("doc_len").to_numpy(),
-        flat.field("n").to_numpy(),
-        pc.list_parent_indices(terms).to_numpy(),
-        terms.flatten().to_numpy(),
-        flat.field("tfs").flatten().to_numpy().astype(np.float64),
-    )
-
-
-#: rows ``count_terms`` makes; the row with term -1 has the passages of a group and their length
-COUNTED = "lang_group string, term int, df bigint, total_len bigint"
-
-
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task and language group: passages with each term, passages and their total length."""
-    totals: dict[str, np.ndarray] = {}
-    sizes: dict[str, list[int]] = {}
-    for batch in _slices(batches, 4 * PASSAGES):
-        p = _unpacked(batch)
-        for group in set(p.group):
-            mine = p.group == group
-            counts = np.bincount(p.term[mine[p.part]])
-            before = totals.get(group, np.zeros(0, np.int64))
-            size = max(len(before), len(counts))
-            totals[group] = np.pad(before, (0, size - len(before))) + np.pad(counts, (0, size - len(counts)))
-            n, length = sizes.get(group, (0, 0))
-            sizes[group] = [n + int(p.copies[mine].sum()), length + int((p.copies[mine] * p.length[mine].astype(np.int64)).sum())]
-    for group, counts in totals.items():
-        terms = np.flatnonzero(counts)
-        n, length = sizes[group]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([group] * (len(terms) + 1), pa.string()),
-                pa.array(np.r_[-1, terms].astype(np.int32)),
-                pa.array(np.r_[n, counts[terms]].astype(np.int64)),
-                pa.array(np.r_[length, np.zeros(len(terms))].astype(np.int64)),
-            ],
-            names=["lang_group", "term", "df", "total_len"],
-        )
+def _unpacked(batch: pa.RecordBatch, vocabulary: pa.Array) -> Iterator[_Passages]:
+    for (head, number), value in zip(_heads(batch.column("terms"), vocabulary), batch.column("passages"), strict=True):
+        body = {k: v.to_numpy() for k, v in _thawed(value).items()}
+        term = number[body["term"]]
+        known = np.flatnonzero(term >= 0)
+        part = np.repeat(np.arange(len(body["row"])), body["entries"])
+        group = np.array(head["group"].to_pylist(), dtype=object)[body["group"]]
+        yield _Passages(body["pos"], body["row"], group, body["length"], part[known], term[known], body["tf"][known].astype(np.float64))
 
 
 @dataclass
-class Pool:
-    """What the questions of a block ask of one pool: the weights ``w`` of (question ``q``, place of its term in ``terms``).
-
-    Entries are in the order of ``place``; ``dense`` marks the terms that go through the matrix product.
-    """
+class Block:
+    """Up to ``QUESTIONS`` questions: their numbers and the weights ``w`` of (question ``q``, ``place`` of its term), by place."""
 
-    groups: list[str]
-    avgdl: float
-    terms: np.ndarray
+    numbers: np.ndarray
     q: np.ndarray
     place: np.ndarray
     w: np.ndarray
-    dense: np.ndarray
 
 
 @dataclass
-class Block:
-    """Up to ``QUESTIONS`` questions: their numbers and what they ask of each pool."""
+class Asked:
+    """Questions that ask the same pools, mostly one. A place is a term of a pool.
 
-    numbers: np.ndarray
-    pools: list[Pool]
-
-
-def blocks(question: np.ndarray, pool: np.ndarray, term: np.ndarray, weight: np.ndarray, density: np.ndarray, pools: list[tuple[list[str], float]]) -> list[Block]:
-    """Blocks of questions with like pools; ``density`` is the share of its pool's passages that have an entry's term."""
-    numbers, first = np.unique(question, return_index=True)
-    numbers = numbers[np.argsort(pool[first], kind="stable")]
-    made = []
-    for start in range(0, len(numbers), QUESTIONS):
-        own = np.sort(numbers[start : start + QUESTIONS])
-        mine, parts = np.isin(question, own), []
-        for i in np.unique(pool[mine]):
-            at = np.flatnonzero(mine & (pool == i))
-            at = at[np.argsort(term[at], kind="stable")]
-            terms, lead, place, asked = np.unique(term[at], return_index=True, return_inverse=True, return_counts=True)
-            dense = asked / len(own) * density[at][lead] > DENSE
-            parts.append(Pool(*pools[i], terms, np.searchsorted(own, question[at]), place, weight[at], dense))
-        made.append(Block(own, parts))
+    ``pools`` has the groups, mean length, terms and first place of each pool; ``dense`` marks the places that go through
+    the matrix product.
+    """
+
+    pools: list[tuple[list[str], float, np.ndarray, int]]
+    dense: np.ndarray
+    blocks: list[Block]
+
+
+def plan(question: np.ndarray, pool: np.ndarray, term: np.ndarray, weight: np.ndarray, density: np.ndarray, pools: list[tuple[list[str], float]]) -> list[Asked]:
+    """Blocks of questions by the pools they ask; ``density`` is the share of its pool's passages that have an entry's term."""
+    if not len(question):
+        return []
+    asks = np.zeros(question.max() + 1, np.int64)
+    np.bitwise_or.at(asks, question, 1 << pool)
+    made, n_terms = [], int(term.max()) + 1
+    for kind in np.unique(asks[question]):
+        mine = np.flatnonzero(asks[question] == kind)
+        keys, first, place, asked = np.unique(pool[mine] * n_terms + term[mine], return_index=True, return_inverse=True, return_counts=True)
+        numbers, q = np.unique(question[mine], return_inverse=True)
+        dense = asked / len(numbers) * density[mine][first] > DENSE
+        members = []
+        for i in np.unique(keys // n_terms):
+            start, end = np.searchsorted(keys, [i * n_terms, (i + 1) * n_terms])
+            members.append((*pools[i], keys[start:end] % n_terms, int(start)))
+        order = np.lexsort((place, q // QUESTIONS))
+        q, place, w = q[order], place[order], weight[mine][order]
+        ends = np.searchsorted(q // QUESTIONS, np.arange(-(-len(numbers) // QUESTIONS) + 1))
+        blocks = [
+            Block(numbers[i * QUESTIONS : (i + 1) * QUESTIONS], q[a:b] - i * QUESTIONS, place[a:b], w[a:b])
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))
+        ]
+        made.append(Asked(members, dense, blocks))
     return made
 
 
-def _products(pool: Pool, p: _Passages, inside: np.ndarray, column: np.ndarray, shape: tuple[int, int], k1: float, b: float) -> np.ndarray:
-    """Scores (question, passage) of one pool; ``inside`` marks its parts, ``column`` is a row's place among the passages."""
-    entry = inside[p.part]
-    part, term, tf = p.part[entry], p.term[entry], p.tf[entry]
-    at = np.full(max(int(term.max(initial=-1)), int(pool.terms[-1])) + 1, -1)
-    at[pool.terms] = np.arange(len(pool.terms))
-    place = at[term]
-    known = place >= 0
-    part, place, tf = part[known], place[known], tf[known]
-    norm = tf + k1 * (1.0 - b + b * (p.length[part] / pool.avgdl))
-    value, passage = tf * (k1 + 1.0) / norm, column[p.row[part]]
-    # terms that many have: a product of matrices
-    n_dense = int(pool.dense.sum())
-    compact, thick, asked = np.cumsum(pool.dense) - 1, pool.dense[place], pool.dense[pool.place]
-    scores = np.zeros(shape)
-    if n_dense:
-        weights = np.zeros((shape[0], n_dense))
-        weights[pool.q[asked], compact[pool.place[asked]]] = pool.w[asked]
-        cells = np.bincount(compact[place[thick]] * shape[1] + passage[thick], value[thick], n_dense * shape[1])
-        scores = weights @ cells.reshape(n_dense, shape[1])
-    # the others: all questions of a passage's term
-    asking = np.bincount(pool.place, minlength=len(pool.terms))
-    starts = np.cumsum(asking) - asking
-    place, passage, value = place[~thick], passage[~thick], value[~thick]
-    item, nth = _spread(asking[place])
-    entry = starts[place][item] + nth
-    cells = pool.q[entry] * shape[1] + passage[item]
-    return scores + np.bincount(cells, value[item] * pool.w[entry], shape[0] * shape[1]).reshape(shape)
+@dataclass
+class _Side:
+    """What a block of passages has of the places of an ``Asked``: a matrix (passage, dense place) and the other entries."""
+
+    pos: np.ndarray
+    exact: np.ndarray
+    rough: np.ndarray
+    place: np.ndarray
+    passage: np.ndarray
+    value: np.ndarray
+
+
+def _side(asked: Asked, places: list[np.ndarray], p: _Passages, k1: float, b: float) -> _Side | None:
+    """``places`` has the place of each term of the vocabulary, or -1, for each pool; None without passages of these pools."""
+    present = sorted(set(p.group))
+    within = {g: p.group == g for g in present}
+    inside = [np.logical_or.reduce([within[g] for g in pool[0] if g in within] or [np.zeros(len(p.group), bool)]) for pool in asked.pools]
+    rows = np.unique(p.row[np.logical_or.reduce(inside)])
+    if not len(rows):
+        return None
+    column = np.zeros(len(p.pos), np.int64)
+    column[rows] = np.arange(len(rows))
+    found = []
+    for (_, avgdl, _, _), of_term, mine in zip(asked.pools, places, inside, strict=True):
+        place = of_term[p.term]
+        entry = np.flatnonzero(mine[p.part] & (place >= 0))
+        part, tf = p.part[entry], p.tf[entry]
+        norm = tf + (k1 * (1.0 - b + b * (p.length / avgdl)))[part]
+        found.append((place[entry], column[p.row][part], tf * (k1 + 1.0) / norm))
+    place, passage, value = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+    thick, compact, n_dense = asked.dense[place], np.cumsum(asked.dense) - 1, int(asked.dense.sum())
+    cells = np.bincount(passage[thick] * n_dense + compact[place[thick]], value[thick], len(rows) * n_dense)
+    cells = cells.astype(np.float64, copy=False).reshape(len(rows), n_dense)  # integers if there are none
+    # rough scores may be off by a share of themselves, which holds for sums of positive values only
+    rough = cells.astype(np.float32) if 0.0 <= b <= 1.0 and k1 >= 0.0 else cells
+    thin = ~thick
+    return _Side(p.pos[rows], cells, rough, place[thin], passage[thin], value[thin])
+
+
+class _Questions:
+    """A block of questions, laid out for products: dense entries by cell of the weight matrix, the others by place."""
+
+    def __init__(self, block: Block, dense: np.ndarray):
+        self.numbers, self.n_dense = block.numbers, int(dense.sum())
+        thick = dense[block.place]
+        self.cell = block.q[thick] * self.n_dense + (np.cumsum(dense) - 1)[block.place[thick]]
+        self.weight = block.w[thick]
+        self.q, self.w = block.q[~thick], block.w[~thick]
+        self.asking = np.bincount(block.place[~thick], minlength=len(dense))
+        self.starts = np.cumsum(self.asking) - self.asking
+        self.most = int(np.bincount(block.q, minlength=1).max())
+
+
+class _Scores:
+    """Scores (question, passage): rough ones of all pairs, in single precision, and exact ones of some."""
+
+    def __init__(self, questions: _Questions, side: _Side):
+        self.side, n, kind = side, len(side.pos), side.rough.dtype
+        self.weights = np.zeros((len(questions.numbers), questions.n_dense))
+        self.weights.reshape(-1)[questions.cell] = questions.weight
+        self.rough = self.weights.astype(kind) @ side.rough.T
+        # places that few have: all questions of a passage's place
+        asked = questions.asking[side.place]
+        entry = np.repeat(questions.starts[side.place] - np.cumsum(asked) + asked, asked)
+        entry += np.arange(len(entry))
+        self.cells = questions.q[entry] * n
+        self.cells += np.repeat(side.passage, asked)
+        self.values = np.repeat(side.value, asked)
+        self.values *= questions.w[entry]
+        np.add.at(self.rough.reshape(-1), self.cells, self.values.astype(kind))
+        # a sum of n positive products in that precision is off by n + 2 roundings at most
+        self.error = (questions.most + 8) * float(np.finfo(kind).eps)
+
+    def exact(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Exact scores of pairs of a question and a passage."""
+        pair_of = np.full(self.rough.size, -1, np.int32)
+        pair_of[q * len(self.side.pos) + at] = np.arange(len(q))
+        pair = pair_of[self.cells]
+        scores = np.bincount(pair[pair >= 0], self.values[pair >= 0], len(q)).astype(np.float64, copy=False)
+        for i in range(0, len(q), _PAIRS):
+            some = slice(i, i + _PAIRS)
+            scores[some] += np.einsum("ij,ij->i", self.weights[q[some]], self.side.exact[at[some]])
+        return scores
 
 
 class _Best:
@@ -256,16 +354,22 @@ class _Best:
         self.k, self.least = k, np.full(n, -np.inf)
         self.q, self.pos, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def add(self, scores: np.ndarray, pos: np.ndarray) -> None:
-        rounded, n = np.round(scores, 9), scores.shape[1]
+    def add(self, scores: _Scores) -> None:
+        rough, pos = scores.rough, scores.side.pos
+        least, n = self.least * (1.0 - scores.error), rough.shape[1]
         if n > self.k:
-            least = np.maximum(self.least, np.partition(rounded, n - self.k, axis=1)[:, n - self.k])
-        else:
-            least = self.least
-        q, at = np.nonzero((rounded >= least[:, None]) & (scores > 0))
+            # k groups of passages have a score as high as the k-th highest of the groups' best
+            wide = n >= 2 * _HEADS and self.k <= _HEADS
+            heads = rough[:, : n // _HEADS * _HEADS].reshape(len(rough), -1, _HEADS).max(axis=1) if wide else rough
+            heads = np.partition(heads, heads.shape[1] - self.k, axis=1)[:, heads.shape[1] - self.k]
+            least = np.maximum(least, heads * (1.0 - 2.0 * scores.error))
+        # lower by more than the rounding to nine decimals and that of this bound
+        bound = np.maximum(least * (1.0 - 1e-6) - 2e-9, np.finfo(rough.dtype).tiny).astype(rough.dtype)
+        q, at = np.divmod(np.flatnonzero(rough >= bound[:, None]), n)
         if not len(q):
             return
-        q, pos, score = np.r_[self.q, q], np.r_[self.pos, pos[at]], np.r_[self.score, scores[q, at]]
+        score = scores.exact(q, at)
+        q, pos, score = np.r_[self.q, q], np.r_[self.pos, pos[at]], np.r_[self.score, score]
         order = np.lexsort((pos, -np.round(score, 9), q))
         q, pos, score = q[order], pos[order], score[order]
         per_question = np.bincount(q, minlength=len(self.least))
@@ -280,29 +384,28 @@ class _Best:
 SCORED = "question int, pos bigint, score double"
 
 
-def score(asked: Broadcast, k: int, k1: float, b: float) -> Callable:
-    """Rows ``SCORED`` from ``PACKED`` rows: a task's best ``k`` passages of each question of the blocks ``asked``."""
+def score(vocabulary: Broadcast, todo: Broadcast, k: int, k1: float, b: float) -> Callable:
+    """Rows ``SCORED`` from ``PACKED`` rows: a task's best ``k`` passages of each question of ``todo``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        todo = asked.value
-        best = [_Best(len(block.numbers), k) for block in todo]
-        for batch in _slices(batches):
-            p = _unpacked(batch)
-            of_group = {g: p.group == g for g in set(p.group)}
-            for block, top in zip(todo, best, strict=True):
-                none = np.zeros(len(p.group), bool)
-                inside = [np.logical_or.reduce([of_group.get(g, none) for g in pool.groups]) for pool in block.pools]
-                rows = np.unique(p.row[np.logical_or.reduce(inside)])
-                if not len(rows):
-                    continue
-                column = np.zeros(len(p.pos), np.int64)
-                column[rows] = np.arange(len(rows))
-                shape = (len(block.numbers), len(rows))
-                top.add(sum(_products(pool, p, mine, column, shape, k1, b) for pool, mine in zip(block.pools, inside, strict=True)), p.pos[rows])
-        for block, top in zip(todo, best, strict=True):
+        terms, asked = vocabulary.value, todo.value
+        best = [[(_Questions(block, kind.dense), _Best(len(block.numbers), k)) for block in kind.blocks] for kind in asked]
+        places = []
+        for kind in asked:
+            places.append([np.full(len(terms) + 1, -1, np.int32) for _ in kind.pools])
+            for of_term, (_, _, own, start) in zip(places[-1], kind.pools, strict=True):
+                of_term[own] = start + np.arange(len(own))
+        for batch in (b for b in batches if b.num_rows):
+            for p in _unpacked(batch, terms):
+                for kind, of_terms, tops in zip(asked, places, best, strict=True):
+                    side = _side(kind, of_terms, p, k1, b)
+                    if side is not None:
+                        for questions, top in tops:
+                            top.add(_Scores(questions, side))
+        for questions, top in (x for tops in best for x in tops):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(block.numbers[top.q].astype(np.int32)),
+                    pa.array(questions.numbers[top.q].astype(np.int32)),
                     pa.array(top.pos, mask=top.pos == _NO_POS),
                     pa.array(top.score),
                 ],
