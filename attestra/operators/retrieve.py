@@ -20,7 +20,7 @@ from ..session import fits, stage, staging_dir, staging_scope
 from . import index as ix
 from . import score as sc
 
-#: tasks a core that score a round
+#: tasks a core that score a round: few, as each returns its best of every question
 _TASKS = 3
 
 
@@ -140,7 +140,10 @@ def _scored_in_rounds(
     terms = staged.where("term IS NOT NULL AND qid IS NOT NULL")
     rounds = max(1, min(-(-rows // max(1, cfg.broadcast_max_rows)), rows))
     fields = F.struct("lang_group", F.col("doc_len").cast("int").alias("doc_len"), "words")
-    words = ix.prepare(passages).groupBy("pos").agg(F.collect_list(fields).alias("parts"))
+    # as many parts of the corpus as give each task of a round the same number
+    tasks = _TASKS * spark.sparkContext.defaultParallelism
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // tasks) * tasks
+    words = ix.analyse(passages).repartition(parts, "pos").groupBy("pos").agg(F.collect_list(fields).alias("parts"))
     path = f"{staging_dir(spark)}/scored-{uuid.uuid4().hex}"
     used: set[str] = set()
     with staging_scope(spark):
@@ -155,7 +158,7 @@ def _scored_in_rounds(
                 now = following.result()
                 if i + 1 < rounds:
                     following = ahead.submit(ready, i + 1)
-                _score_round(now, packed, path, cfg)
+                _score_round(now, packed.coalesce(tasks), path, cfg)
                 used |= now.used
     schema = StructType([staged.schema["qid"], StructField("pos", LongType()), StructField("score", DoubleType())])
     return spark.read.schema(schema).parquet(path), used
@@ -210,9 +213,7 @@ def _round(terms: DataFrame, packed: DataFrame, wanted: set[str]) -> _Round:
 
 def _score_round(now: _Round, packed: DataFrame, path: str, cfg: Config) -> None:
     """Append the best passages of the questions of a round to ``path``."""
-    # every task returns its best of each question: few tasks, as all have the same work
-    tasks = _TASKS * packed.sparkSession.sparkContext.defaultParallelism
-    scored = packed.coalesce(tasks).mapInArrow(sc.score(now.vocabulary, now.todo, cfg.top_k, cfg.k1, cfg.b), sc.SCORED)
+    scored = packed.mapInArrow(sc.score(now.vocabulary, now.todo, cfg.top_k, cfg.k1, cfg.b), sc.SCORED)
     best = scored.join(F.broadcast(now.qids), "question").select("qid", "pos", "score")
     best.write.mode("append").parquet(path)
     now.todo.unpersist()
@@ -299,25 +300,22 @@ def retrieve(
     passages: DataFrame,
     cfg: Config = Config(),
     index: ix.Index | None = None,
+    text: bool = True,
 ) -> DataFrame:
     """Questions with their retrieved passages.
 
     Adds ``candidates``, ``retrieved`` (array in rank order), ``top_score`` (three decimals),
-    ``precheck_passed`` (on the unrounded score) and ``resolved_lang``.
+    ``precheck_passed`` (on the unrounded score) and ``resolved_lang``. Without ``text``, for callers that
+    need no title or text, the passages listed have neither and none is read or moved for the lists.
     """
     ranked = rank(questions, passages, cfg, index)
     if fits(questions.select("qid"), cfg.broadcast_max_rows // max(1, cfg.top_k)):
         ranked = F.broadcast(ranked)
     title = F.col("title") if "title" in passages.columns else F.lit("")
-    body = passages.select(
-        "pos",
-        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"),
-        "lang",
-        F.coalesce(title, F.lit("")).alias("title"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    texts = [F.coalesce(title, F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")] if text else []
+    body = passages.select("pos", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "lang", *texts)
     found = body.join(ranked, "pos").withColumn("bm25_score", exact_round("score", 3))
-    passage = F.struct("rank", "pos", "id", "lang", "title", "text", "bm25_score")
+    passage = F.struct("rank", *body.columns, "bm25_score")
     lists = found.groupBy("qid").agg(
         F.array_sort(F.collect_list(passage)).alias("retrieved"),
         F.max("score").alias("_top"),

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 #: rows ``pack`` makes, one per block: its terms and how many passages have them, and the passages themselves (see ``_frozen``)
 PACKED = "terms binary, passages binary"
 #: passages of a block and questions of one product of matrices
-PASSAGES, QUESTIONS = 1024, 1024
+PASSAGES, QUESTIONS = 2048, 1024
 #: a term that this share of (question, passage) pairs has in common goes through the matrix product
 DENSE = 0.001
 #: groups of passages whose best scores bound the ``k``-th best from below
@@ -282,7 +282,7 @@ def _side(asked: Asked, places: list[np.ndarray], p: _Passages, k1: float, b: fl
     rows = np.unique(p.row[np.logical_or.reduce(inside)])
     if not len(rows):
         return None
-    column = np.zeros(len(p.pos), np.int64)
+    column = np.zeros(len(p.pos), np.int32)
     column[rows] = np.arange(len(rows))
     found = []
     for (_, avgdl, _, _), of_term, mine in zip(asked.pools, places, inside, strict=True):
@@ -293,7 +293,7 @@ def _side(asked: Asked, places: list[np.ndarray], p: _Passages, k1: float, b: fl
         found.append((place[entry], column[p.row][part], tf * (k1 + 1.0) / norm))
     place, passage, value = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
     thick, compact, n_dense = asked.dense[place], np.cumsum(asked.dense) - 1, int(asked.dense.sum())
-    cells = np.bincount(passage[thick] * n_dense + compact[place[thick]], value[thick], len(rows) * n_dense)
+    cells = np.bincount(passage[thick].astype(np.int64) * n_dense + compact[place[thick]], value[thick], len(rows) * n_dense)
     cells = cells.astype(np.float64, copy=False).reshape(len(rows), n_dense)  # integers if there are none
     # rough scores may be off by a share of themselves, which holds for sums of positive values only
     rough = cells.astype(np.float32) if 0.0 <= b <= 1.0 and k1 >= 0.0 else cells
@@ -309,9 +309,9 @@ class _Questions:
         thick = dense[block.place]
         self.cell = block.q[thick] * self.n_dense + (np.cumsum(dense) - 1)[block.place[thick]]
         self.weight = block.w[thick]
-        self.q, self.w = block.q[~thick], block.w[~thick]
-        self.asking = np.bincount(block.place[~thick], minlength=len(dense))
-        self.starts = np.cumsum(self.asking) - self.asking
+        self.q, self.w = block.q[~thick].astype(np.int32), block.w[~thick]
+        self.asking = np.bincount(block.place[~thick], minlength=len(dense)).astype(np.int32)
+        self.starts = np.cumsum(self.asking, dtype=np.int32) - self.asking
         self.most = int(np.bincount(block.q, minlength=1).max())
 
 
@@ -325,13 +325,13 @@ class _Scores:
         self.rough = self.weights.astype(kind) @ side.rough.T
         # places that few have: all questions of a passage's place
         asked = questions.asking[side.place]
-        entry = np.repeat(questions.starts[side.place] - np.cumsum(asked) + asked, asked)
-        entry += np.arange(len(entry))
-        self.cells = questions.q[entry] * n
-        self.cells += np.repeat(side.passage, asked)
-        self.values = np.repeat(side.value, asked)
-        self.values *= questions.w[entry]
-        np.add.at(self.rough.reshape(-1), self.cells, self.values.astype(kind))
+        ends = np.cumsum(asked)
+        self.entry = np.repeat((questions.starts[side.place] - ends + asked).astype(np.int32), asked)
+        self.entry += np.arange(len(self.entry), dtype=np.int32)
+        self.nth, self.w = np.repeat(np.arange(len(asked), dtype=np.int32), asked), questions.w
+        self.cells = questions.q[self.entry] * np.int32(n)
+        self.cells += side.passage[self.nth]
+        np.add.at(self.rough.reshape(-1), self.cells, side.value.astype(kind)[self.nth] * questions.w.astype(kind)[self.entry])
         # a sum of n positive products in that precision is off by n + 2 roundings at most
         self.error = (questions.most + 8) * float(np.finfo(kind).eps)
 
@@ -340,7 +340,9 @@ class _Scores:
         pair_of = np.full(self.rough.size, -1, np.int32)
         pair_of[q * len(self.side.pos) + at] = np.arange(len(q))
         pair = pair_of[self.cells]
-        scores = np.bincount(pair[pair >= 0], self.values[pair >= 0], len(q)).astype(np.float64, copy=False)
+        hit = np.flatnonzero(pair >= 0)
+        values = self.side.value[self.nth[hit]] * self.w[self.entry[hit]]
+        scores = np.bincount(pair[hit], values, len(q)).astype(np.float64, copy=False)
         for i in range(0, len(q), _PAIRS):
             some = slice(i, i + _PAIRS)
             scores[some] += np.einsum("ij,ij->i", self.weights[q[some]], self.side.exact[at[some]])

@@ -75,7 +75,7 @@ def bm25_precheck(spark, sf_dir):
 
 def top_passage_lang(spark, sf_dir):
     found = retrieve(
-        inputs.mixed_questions(spark, sf_dir).drop("lang"), inputs.mixed_passages(spark, sf_dir)
+        inputs.mixed_questions(spark, sf_dir).drop("lang"), inputs.mixed_passages(spark, sf_dir), text=False
     )
     return found.select(
         "qid",
