@@ -177,9 +177,13 @@ class _Round:
 def _round(terms: DataFrame, packed: DataFrame, wanted: set[str]) -> _Round:
     """The questions of ``terms``, with the weights of their terms among the ``packed`` passages."""
     spark = terms.sparkSession
-    asked = terms.select("qid", "wanted", "term", "qtf").toArrow().combine_chunks()
-    term = asked["term"].combine_chunks().dictionary_encode()
-    vocabulary = spark.sparkContext.broadcast(term.dictionary)
+    asked = terms.select("qid", "wanted", "term", "qtf").toArrow()
+    term, own, qids = (asked[c].combine_chunks().dictionary_encode() for c in ("term", "wanted", "qid"))
+    qtf = asked["qtf"].to_numpy()
+    del asked  # the texts of millions of rows
+    term, terms_asked = term.indices.to_numpy(zero_copy_only=False), term.dictionary
+    question, qids = qids.indices.to_numpy(zero_copy_only=False), qids.dictionary
+    vocabulary = spark.sparkContext.broadcast(terms_asked)
     all_groups = ix.POOLS["all"]
     counted = packed.select("terms").mapInArrow(sc.count_terms(vocabulary, all_groups), sc.counted(all_groups)).groupBy("term")
     table = counted.agg(*[F.sum(g).alias(g) for g in all_groups]).toArrow()
@@ -189,24 +193,17 @@ def _round(terms: DataFrame, packed: DataFrame, wanted: set[str]) -> _Round:
     used = {pool if pool in figures else "all" for pool in wanted}
 
     names = sorted(used)
-    df = np.zeros((len(names), max(1, len(term.dictionary))))
+    df = np.zeros((len(names), max(1, len(terms_asked))))
     for i, pool in enumerate(names):
         df[i][numbers[numbers >= 0]] = sum(counts[g] for g in ix.POOLS[pool])[numbers >= 0]
-    own = asked["wanted"].combine_chunks().dictionary_encode()
     pool_of = [names.index(w if w in used else "all") for w in own.dictionary.to_pylist()]
-    pool = np.array(pool_of, np.int64)[own.indices.to_numpy(zero_copy_only=False)]
-    number = term.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    qids = asked["qid"].combine_chunks().dictionary_encode()
-    question = qids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    found = df[pool, number] if len(number) else np.zeros(0)
-    n = np.array([figures.get(p, (0, 1.0))[0] for p in names], float)[pool]
-    weight = asked["qtf"].to_numpy() * np.log(1.0 + (n - found + 0.5) / (found + 0.5))
-    known = found > 0
-    todo = sc.plan(
-        question[known], pool[known], number[known], weight[known], (found / np.maximum(n, 1.0))[known],
-        [(ix.POOLS[p], figures.get(p, (0, 1.0))[1]) for p in names],
-    )
-    numbered = pa.table({"question": pa.array(np.arange(len(qids.dictionary), dtype=np.int32)), "qid": qids.dictionary})
+    pool = np.array(pool_of, np.int8)[own.indices.to_numpy(zero_copy_only=False)]
+    known = np.flatnonzero(df[pool, term] > 0) if len(term) else np.zeros(0, np.int64)
+    question, pool, term, qtf = question[known], pool[known], term[known], qtf[known]
+    found, n = df[pool, term], np.array([figures.get(p, (0, 1.0))[0] for p in names], float)[pool]
+    weight = qtf * np.log(1.0 + (n - found + 0.5) / (found + 0.5))
+    todo = sc.plan(question, pool, term, weight, found / n, [(ix.POOLS[p], figures.get(p, (0, 1.0))[1]) for p in names])
+    numbered = pa.table({"question": pa.array(np.arange(len(qids), dtype=np.int32)), "qid": qids})
     key = spark.createDataFrame(numbered, StructType([StructField("question", IntegerType()), terms.schema["qid"]]))
     return _Round(vocabulary, spark.sparkContext.broadcast(todo), key, used)
 

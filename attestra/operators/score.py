@@ -240,11 +240,11 @@ def plan(question: np.ndarray, pool: np.ndarray, term: np.ndarray, weight: np.nd
     if not len(question):
         return []
     asks = np.zeros(question.max() + 1, np.int64)
-    np.bitwise_or.at(asks, question, 1 << pool)
+    np.bitwise_or.at(asks, question, np.int64(1) << pool)
     made, n_terms = [], int(term.max()) + 1
     for kind in np.unique(asks[question]):
         mine = np.flatnonzero(asks[question] == kind)
-        keys, first, place, asked = np.unique(pool[mine] * n_terms + term[mine], return_index=True, return_inverse=True, return_counts=True)
+        keys, first, place, asked = np.unique(pool[mine].astype(np.int64) * n_terms + term[mine], return_index=True, return_inverse=True, return_counts=True)
         numbers, q = np.unique(question[mine], return_inverse=True)
         dense = asked / len(numbers) * density[mine][first] > DENSE
         members = []
@@ -252,7 +252,7 @@ def plan(question: np.ndarray, pool: np.ndarray, term: np.ndarray, weight: np.nd
             start, end = np.searchsorted(keys, [i * n_terms, (i + 1) * n_terms])
             members.append((*pools[i], keys[start:end] % n_terms, int(start)))
         order = np.lexsort((place, q // QUESTIONS))
-        q, place, w = q[order], place[order], weight[mine][order]
+        q, place, w = q[order].astype(np.int32), place[order].astype(np.int32), weight[mine[order]]
         ends = np.searchsorted(q // QUESTIONS, np.arange(-(-len(numbers) // QUESTIONS) + 1))
         blocks = [
             Block(numbers[i * QUESTIONS : (i + 1) * QUESTIONS], q[a:b] - i * QUESTIONS, place[a:b], w[a:b])
@@ -307,7 +307,7 @@ class _Questions:
     def __init__(self, block: Block, dense: np.ndarray):
         self.numbers, self.n_dense = block.numbers, int(dense.sum())
         thick = dense[block.place]
-        self.cell = block.q[thick] * self.n_dense + (np.cumsum(dense) - 1)[block.place[thick]]
+        self.cell = block.q[thick].astype(np.int64) * self.n_dense + (np.cumsum(dense) - 1)[block.place[thick]]
         self.weight = block.w[thick]
         self.q, self.w = block.q[~thick].astype(np.int32), block.w[~thick]
         self.asking = np.bincount(block.place[~thick], minlength=len(dense)).astype(np.int32)
